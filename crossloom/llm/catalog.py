@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .mixing import mix_sources
+from .warc import archive
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives say once read back; of stored payloads, length and digest are taken anew."""
+    back = archive(table(spark, sf_dir, "pages"))
+    return back.select("page_id", F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"), F.coalesce(F.sha1("payload"), "payload_digest").alias("payload_digest"), "record_type", "refers_to", "url")
+
+
 QUERIES = {
     "op5_mixing": op5_mixing,
+    "op9_warc": op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        h AS (SELECT payload_digest, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+               CASE WHEN page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> head THEN head END AS refers_to, url
+        FROM p LEFT JOIN h ON p.payload_digest = h.payload_digest""",
+}
