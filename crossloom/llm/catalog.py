@@ -6,13 +6,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .mixing import mix_sources
+from .quality import classify_quality
+from .rules import quality_rules
 from .warc import archive
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives say once read back; of stored payloads, length and digest are taken anew."""
     back = archive(table(spark, sf_dir, "pages"))
@@ -20,7 +30,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
+    "op6_rules": op6_rules,
     "op9_warc": op9_warc,
 }
 
