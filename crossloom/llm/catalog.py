@@ -8,6 +8,7 @@ from .common import table
 from .mixing import mix_sources
 from .quality import classify_quality
 from .rules import quality_rules
+from .toxicity import grade_toxicity
 from .warc import archive
 
 
@@ -15,6 +16,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_rules": op6_rules,
     "op9_warc": op9_warc,

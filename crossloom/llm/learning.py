@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +18,18 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, *, doc_id: str = "doc_id", text: str = "text", limit: int = SAMPLE_ROWS, train: Column | None = None) -> DataFrame:
-    """doc_id, text and label of at most `limit` labelled documents, picked by hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, target: str, *, doc_id: str = "doc_id", text: str = "text", limit: int = SAMPLE_ROWS, train: Column | None = None, each: dict[int, int] | None = None) -> DataFrame:
+    """doc_id, text and label of at most `limit` labelled documents, picked by hash of the id; with
+    `each` at most so many of each label that it names.
 
     Labels that are null or without id don't count; of several labels for an id the largest counts.
     The picked ids are at most `limit` rows, which is why they may be broadcast."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     if train is not None:
         marks = marks.where(train)
-    marks = marks.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
+    parts = [marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in (each or {}).items()]
+    marks = reduce(DataFrame.union, parts) if parts else marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(marks), "doc_id")
 
 

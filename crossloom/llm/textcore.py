@@ -72,9 +72,15 @@ class Words:
         self.offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
         self.bounds = np.searchsorted(self.starts, self.offsets)
         up, down = _power(len(joined) + 1)
-        run = np.zeros(len(joined) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[self.bytes] * up[:-1], out=run[1:])
-        self.hashes = mix((run[self.ends] - run[self.starts]) * down[self.starts])
+        self._run, self._down = np.zeros(len(joined) + 1, np.uint64), down
+        np.cumsum(_BYTE_VALUES[self.bytes] * up[:-1], out=self._run[1:])
+        self.hashes = mix((self._run[self.ends] - self._run[self.starts]) * down[self.starts])
+
+    def stems(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words longer than size bytes, hashes of their first size bytes); never a word's hash."""
+        long = np.flatnonzero(self.ends - self.starts > size)
+        at = self.starts[long]
+        return long, mix((self._run[at + size] - self._run[at]) * self._down[at] + np.uint64(size))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
