@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .licences import scan_licences
 from .mixing import mix_sources
 from .quality import classify_quality
 from .rules import quality_rules
@@ -12,6 +13,11 @@ from .toxicity import grade_toxicity
 from .warc import archive
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licences(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +41,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licences": op1_licences,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
