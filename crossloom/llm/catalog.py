@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .contexttree import score_texts
 from .licences import scan_licences
 from .mixing import mix_sources
 from .quality import classify_quality
@@ -34,6 +35,10 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives say once read back; of stored payloads, length and digest are taken anew."""
     back = archive(table(spark, sf_dir, "pages"))
@@ -46,6 +51,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_rules": op6_rules,
+    "op7_context_tree": op7_context_tree,
     "op9_warc": op9_warc,
 }
 
