@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .contexttree import score_texts
+from .jaccard import link_documents
 from .licences import scan_licences
 from .mixing import mix_sources
 from .quality import classify_quality
 from .rules import quality_rules
 from .toxicity import grade_toxicity
+from .vectors import link_vectors
 from .warc import archive
 
 
@@ -19,6 +21,10 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +45,10 @@ def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives say once read back; of stored payloads, length and digest are taken anew."""
     back = archive(table(spark, sf_dir, "pages"))
@@ -47,11 +57,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_licences": op1_licences,
+    "op2_vectors": op2_vectors,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_rules": op6_rules,
     "op7_context_tree": op7_context_tree,
+    "op8_jaccard": op8_jaccard,
     "op9_warc": op9_warc,
 }
 
