@@ -9,6 +9,7 @@ from .contexttree import score_texts
 from .jaccard import link_documents
 from .licences import scan_licences
 from .mixing import mix_sources
+from .pieces import encode_samples
 from .quality import classify_quality
 from .rules import quality_rules
 from .toxicity import grade_toxicity
@@ -55,6 +56,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"), F.coalesce(F.sha1("payload"), "payload_digest").alias("payload_digest"), "record_type", "refers_to", "url")
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and sample; the pieces as their number and a hash."""
+    rows = encode_samples(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"), "log_prob", "perturbed", "inclusion")
+
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_vectors": op2_vectors,
@@ -65,6 +72,7 @@ QUERIES = {
     "op7_context_tree": op7_context_tree,
     "op8_jaccard": op8_jaccard,
     "op9_warc": op9_warc,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {
