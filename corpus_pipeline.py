@@ -1,12 +1,66 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read by the next.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+docs. Rows with null ids, repeated rows, empty texts and empty tables pass through every stage by the
+rules of the operator that the stage calls.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crossloom.llm.common import cut, table
+from crossloom.llm.jaccard import link_documents
+from crossloom.llm.learning import free_name
+from crossloom.llm.mixing import mix_sources
+from crossloom.llm.pieces import encode_samples
+from crossloom.llm.quality import keep_good
+from crossloom.llm.toxicity import keep_civil
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def civil_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model does not find toxic."""
+    return keep_civil(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group that links of Jaccard similarity 0.8 connect.
+
+    Rows get a number first, so that repeated rows and null ids are told apart; the text is joined with
+    the numbers that go, which are far fewer than those that stay."""
+    number = free_name(docs, "row")
+    rows = cut(docs.withColumn(number, F.monotonically_increasing_id()), "pipeline-rows")
+    gone = link_documents(rows, doc_id=number).where("doc_id <> component_id").select(F.col("doc_id").alias(number))
+    return rows.join(gone, number, "left_anti").select(docs.columns)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: of one that it takes r times over and some words more,
+    r rows, and by the id's hash one more, as likely as the words are many."""
+    plan = mix_sources(docs).groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_rate"))
+    chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("mix-copy"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    plan = plan.select(F.col("doc_id").alias("_id"), F.floor(F.col("_rate") + chance).cast("int").alias("_copies")).where("_copies > 0")
+    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
+def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document."""
+    return encode_samples(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", good_documents),
+    ("toxicity", civil_documents),
+    ("n-gram Jaccard join", one_of_each),
+    ("mixing sources", mixed_sources),
+    ("SentencePiece encoding", sampled_pieces),
+]
 
 #: The stages learn models and draw samples; SQL cannot say them.
 ORACLE_SQL = None
