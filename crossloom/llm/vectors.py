@@ -26,8 +26,10 @@ BLOCKS = 8
 #: Vectors of a slab that meet in one task, at most, on either side.
 SIDE = 16_384
 #: Rows and columns of the distance matrices made at a time.
-TILE = 1024
+TILE = 512
 SLACK = 1e-9
+#: What single precision may be off by in a squared distance of unit vectors' blocks.
+ROUGH = 4e-6
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -64,6 +66,11 @@ def slabs(x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     return slab, first >= (slab + 1) * 2 * reach - reach - SLACK
 
 
+def along(x: np.ndarray, block: int) -> np.ndarray:
+    """A block's first coordinate."""
+    return rotate(unit(x)).reshape(len(x), block_count(x.shape[1]), -1)[:, block, 0]
+
+
 class Links:
     """Counts and a forest (as labels) of the links within one set of vectors."""
 
@@ -73,22 +80,24 @@ class Links:
         blocks = block_count(x.shape[1])
         self.budget = (2 - 2 * cosine) / blocks * (1 + 1e-9)
         self.parts = rotate(unit(x)).reshape(len(x), blocks, -1)
-        self.squares = (self.parts**2).sum(2)
+        # Rows and columns whose product is the squared distance in a block.
+        squares, one = (self.parts**2).sum(2, keepdims=True), np.ones((len(x), blocks, 1))
+        self.rows = np.concatenate([-2 * self.parts, squares, one], 2).astype(np.float32)
+        self.columns = np.concatenate([self.parts, one, squares], 2).astype(np.float32)
         self.count = np.zeros(len(x), np.int64)
         self.label = np.arange(len(x))
 
     def _near(self, block: int, a: slice, b: slice) -> np.ndarray:
-        p = self.parts[:, block]
-        return self.squares[a, block][:, None] + self.squares[b, block][None, :] - 2 * (p[a] @ p[b].T)
+        return self.rows[a, block] @ self.columns[b, block].T
 
     def tile(self, a: slice, b: slice, triangle: bool) -> None:
-        mask = self._near(self.block, a, b) <= self.budget + SLACK
+        mask = self._near(self.block, a, b) <= self.budget + ROUGH
         if triangle:
             mask = np.triu(mask, 1)
         if np.count_nonzero(mask) * 50 > mask.size:
             for earlier in range(self.block):
-                mask &= self._near(earlier, a, b) >= self.budget - SLACK
-        rows, columns = np.nonzero(mask)
+                mask &= self._near(earlier, a, b) >= self.budget - ROUGH
+        rows, columns = np.divmod(np.flatnonzero(mask), mask.shape[1])
         for k in range(0, len(rows), 1 << 15):
             self._verify(rows[k : k + (1 << 15)] + a.start, columns[k : k + (1 << 15)] + b.start)
 
@@ -110,11 +119,16 @@ class Links:
                 self.label = up
 
     def run(self, homes: int, within: bool) -> None:
-        """Of the first `homes` rows and the others: all pairs among the homes if within, else homes with others."""
-        n = len(self.x)
+        """Of the first `homes` rows and the others: all pairs among the homes if within, else homes with others.
+
+        Both sides are in order of the block's first coordinate, so tiles too far apart are passed over."""
+        n, along = len(self.x), self.parts[:, self.block, 0]
+        reach = math.sqrt(self.budget) + SLACK
         for a in range(0, homes, TILE):
             for b in range(a if within else homes, homes if within else n, TILE):
-                self.tile(slice(a, min(a + TILE, homes)), slice(b, min(b + TILE, homes if within else n)), within and a == b)
+                one, two = slice(a, min(a + TILE, homes)), slice(b, min(b + TILE, homes if within else n))
+                if along[two.start] - along[one.stop - 1] <= reach and along[one.start] - along[two.stop - 1] <= reach:
+                    self.tile(one, two, within and a == b)
 
 
 def link_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.95) -> DataFrame:
@@ -189,11 +203,12 @@ def link_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
 
     def join(table: pa.Table) -> pa.Table:
         d, b, _, role, p, q = table["task"][0].as_py().split("/")
-        table = table.sort_by([("home", "descending"), ("cid", "ascending")])
         x = np.frombuffer(b"".join(table["x"].to_pylist()), dtype).astype(np.float64).reshape(-1, int(d))
-        cid = table["cid"].to_numpy()
-        links = Links(x, table["n"].to_numpy().astype(float), int(b), cosine)
-        homes = int(np.count_nonzero(table["home"].to_numpy()))
+        home, cid, weight = (table[c].to_numpy() for c in ("home", "cid", "n"))
+        order = np.lexsort((cid, along(x, int(b)), ~home))
+        x, cid = x[order], cid[order]
+        links = Links(x, weight[order].astype(float), int(b), cosine)
+        homes = int(np.count_nonzero(home))
         links.run(homes, within=role == "h" and p == q)
         hit = np.flatnonzero(links.count)
         return pa.table({"cid": cid[hit], "links": links.count[hit], "root": cid[links.label[hit]]})
