@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .textcore import Words, groups, mix, word_hash
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 3 << 20
 SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
 _SPACE, _LETTER, _MARK, _CONTROL = range(4)
 _KIND = np.full(256, _MARK, np.int8)
