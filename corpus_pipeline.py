@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crossloom.llm.common import cut, table
+from crossloom.llm.common import cut, ship, table
 from crossloom.llm.jaccard import link_documents
 from crossloom.llm.learning import free_name
 from crossloom.llm.mixing import mix_sources
@@ -67,6 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")

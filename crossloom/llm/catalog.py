@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import ship, table
 from .contexttree import score_texts
 from .jaccard import link_documents
 from .licences import scan_licences
@@ -62,6 +62,14 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"), "log_prob", "perturbed", "inclusion")
 
 
+def _on_executors(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_vectors": op2_vectors,
@@ -74,6 +82,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_pieces": op10_pieces,
 }
+QUERIES = {name: _on_executors(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_warc": """

@@ -1,7 +1,8 @@
 """Toxicity: cumulative-link (proportional-odds) regression of severity grades on sparse word features.
 
 P(grade > k) = sigmoid(w . x - cut[k]) with one weight vector for all thresholds and cuts in rising
-order. x says which words, and which beginnings of words (4 and 5 bytes), a text has. The labels say only toxic or not; the grades of the toxic come
+order. x says which words, and which beginnings of words (4 and 5 bytes), a text has; only those that
+surely lean to toxic are in the model, and no weight is negative. The labels say only toxic or not; the grades of the toxic come
 from how many words of a lean-to-toxic list a text has: up to the first third of them 1, the second
 2, the rest 3. Weights are fitted by proximal gradient steps with an L1 penalty, which leaves a few
 hundred words at most; those are the model, keyed by the word's 64-bit hash.
@@ -61,7 +62,7 @@ class Severity:
         return sigmoid(self.margin(texts)[:, None] - self.cuts[None, :])
 
 
-def fit_severity(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, *, least_docs: int = 5, vocabulary: int = 10_000, penalty: float = 5e-5, steps: int = 400) -> Severity:
+def fit_severity(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, *, least_docs: int = 4, least_sure: float = 3.0, vocabulary: int = 10_000, penalty: float = 5e-5, steps: int = 400) -> Severity:
     """rows, words: (document, word hash) pairs without repeats; toxic: 0 or 1 by document.
 
     Without both kinds there is nothing to learn: no word has a weight, and all texts get the
@@ -74,7 +75,9 @@ def fit_severity(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, *, leas
     keys, column, count = np.unique(words, return_inverse=True, return_counts=True)
     with_toxic = np.bincount(column, toxic[rows], len(keys))
     lean = np.log((with_toxic + 0.5) / (toxic.sum() + 1)) - np.log((count - with_toxic + 0.5) / (n - toxic.sum() + 1))
-    strength = np.where(count >= least_docs, np.abs(lean) * np.sqrt(count), -1)
+    # How sure it is that a feature leans to toxic, in standard errors; the others stay out of the model.
+    sure = lean / np.sqrt(1 / (with_toxic + 0.5) + 1 / (count - with_toxic + 0.5))
+    strength = np.where((count >= least_docs) & (sure >= least_sure), lean * np.sqrt(count), -1)
     chosen = np.sort(np.argsort(-strength, kind="stable")[:vocabulary])
     chosen = chosen[strength[chosen] > 0]
     place = np.full(len(keys), -1)
@@ -99,7 +102,7 @@ def fit_severity(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, *, leas
         vw, scale = vw + gw**2, scale + gc**2
         rate = 0.3 / np.sqrt(vw)
         w = w - rate * gw
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
+        w = np.maximum(w - rate * penalty, 0)  # ordinary words make no text less severe
         cuts = np.sort(cuts - 0.3 / np.sqrt(scale) * gc)
     used = w != 0
     return Severity(keys[chosen][used], w[used], cuts, _parting(sigmoid(np.bincount(rc, w[cc], n) - cuts[0]), toxic))
