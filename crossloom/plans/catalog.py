@@ -12,6 +12,7 @@ from crossloom.functions.display import Rule, highlight
 from crossloom.operators.aggregate import distinct_values
 from crossloom.operators.drill import drill_down, search
 from crossloom.operators.paging import page
+from crossloom.operators.rowplan import column_groups, row_plan
 from crossloom.plans.engine import PivotFrames, pivot
 from crossloom.plans.request import Aggregation as A, Filter, PivotRequest, RowSort, ShowAs as S, SortBy, Value
 from crossloom.sources import readers
@@ -226,6 +227,19 @@ def conditional_highlight(spark, sf_dir):
     return r.labelled_cells().select(F.col("r0").alias("customer"), F.col("c0").alias("priority"), highlight(F.col("v0"), rules).alias("color"))
 
 
+def _plan(collapsed):
+    def run(spark, sf_dir):
+        r = pivot(_table(spark, sf_dir, "orders"), STATUS_PRIORITY, order_by=["o_orderkey"])
+        return row_plan(r, collapsed).select("position", "kind", "level", F.col("r0").alias("status"), F.col("r1").alias("priority"), F.col("v0").cast("double").alias("total"))
+
+    return run
+
+
+def header_groups(spark, sf_dir):
+    df = _table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    return column_groups(pivot(df, PivotRequest((), ("o_orderpriority", "year"), (Value("o_totalprice"),)), order_by=["o_orderkey"]))
+
+
 _CITIES = "city,amount\nZonguldak,1\nÇanakkale,2\nCorum,3\n"
 
 
@@ -266,6 +280,7 @@ QUERIES = {
     "showas_running_max": _series(S.RUNNING_TOTAL, A.MAX), "showas_avg_pct_row": showas_avg_pct_row, "showas_subtotals": showas_subtotals,
     "drill_cell": drill_cell, "drill_prefix": drill_prefix, "drill_total": drill_total, "drill_search": drill_search,
     "distinct_text": distinct_text, "distinct_numeric": distinct_numeric, "page_slice": page_slice, "wide_crosstab": wide_crosstab,
+    "row_plan": _plan(()), "row_plan_collapsed": _plan((("F",), ("P",))), "header_groups": header_groups,
     "conditional_highlight": conditional_highlight, "collation_order_tr": _collation("tr"), "collation_order_en": _collation("en"),
     "csv_source": csv_source, "json_source": json_source, "records_source": records_source,
 }
@@ -300,7 +315,20 @@ _RUNNING = (
 )
 _ORDER_TOTAL = "sum(" + _exact("o_totalprice") + ")"
 
+_PLAN = f"""
+    WITH d AS (SELECT o_orderstatus s, o_orderpriority p, CAST({_ORDER_TOTAL} AS DOUBLE) t FROM orders GROUP BY 1, 2),
+    g AS (SELECT o_orderstatus s, CAST({_ORDER_TOTAL} AS DOUBLE) t FROM orders GROUP BY 1),
+    a AS (SELECT 'detail' AS kind, 2 AS level, s, p, t FROM d WHERE s NOT IN ({{closed}}) UNION ALL SELECT 'group', 1, s, '', t FROM g
+          UNION ALL SELECT 'grand', 0, '', '', CAST({_ORDER_TOTAL} AS DOUBLE) FROM orders)
+    SELECT row_number() OVER (ORDER BY kind = 'grand', s, level, p) - 1 AS position, kind, level, s AS status, p AS priority, t AS total FROM a"""
+
 ORACLE_SQL = {
+    "row_plan": _PLAN.format(closed="''"),
+    "row_plan_collapsed": _PLAN.format(closed="'F', 'P'"),
+    "header_groups": """
+        WITH p AS (SELECT o_orderpriority l, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS i FROM orders GROUP BY 1),
+        y AS (SELECT CAST(year(o_orderdate) AS VARCHAR) l, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS j FROM orders GROUP BY 1), n AS (SELECT count(*) n FROM y)
+        SELECT 0 AS level, i * n AS start, n AS span, l AS label FROM p, n UNION ALL SELECT 1, i * n + j, 1, y.l FROM p, y, n""",
     "pivot_sum_cells": f"SELECT l_returnflag AS row_label, l_linestatus AS column_label, {_SUM} FROM lineitem GROUP BY 1, 2",
     "pivot_all_aggs": f"SELECT l_returnflag AS row_label, l_linestatus AS column_label, {_QTY}, count(l_quantity) AS l_quantity_count, CAST(sum({_exact('l_quantity')}) AS DOUBLE) / count(l_quantity) AS l_quantity_average, CAST(min({_exact('l_quantity')}) AS DOUBLE) AS l_quantity_min, CAST(max({_exact('l_quantity')}) AS DOUBLE) AS l_quantity_max FROM lineitem GROUP BY 1, 2",
     "pivot_multi_values": f"SELECT l_returnflag AS row_label, l_linestatus AS column_label, {_SUM}, CAST(sum({_exact('l_discount')}) AS DOUBLE) / count(l_discount) AS l_discount_average, CAST(max({_exact('l_tax')}) AS DOUBLE) AS l_tax_max FROM lineitem GROUP BY 1, 2",

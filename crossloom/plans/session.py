@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import time
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -40,6 +41,31 @@ class Options:
             raise PivotError(f"options out of range: {', '.join(bad) or 'a least value is above its most'}")
 
 
+class PageReader:
+    """Pages of one request as lists of rows: offsets snap to page borders, the last few pages stay at hand,
+    and a session that has expired is started again once."""
+
+    def __init__(self, service: PivotService, request: PivotRequest, size: int = 40, keep: int = 6) -> None:
+        self.service, self.request, self.size, self.keep = service, request, size, max(2, keep)
+        self.pages: OrderedDict[int, list] = OrderedDict()
+        self.session = service.start(request, page_size=size)[0]
+
+    def rows(self, offset: int) -> list:
+        at = offset // self.size * self.size
+        if at not in self.pages:
+            try:
+                got = self.service.page(self.session, at, self.size)
+            except SessionExpiredError:
+                self.pages.clear()
+                self.session = self.service.start(self.request, page_size=self.size)[0]
+                got = self.service.page(self.session, at, self.size)
+            self.pages[at] = got.rows.join(got.row_totals, "row_index").orderBy("row_index").collect()
+            if len(self.pages) > self.keep:
+                self.pages.popitem(last=False)
+        self.pages.move_to_end(at)
+        return self.pages[at]
+
+
 @dataclass
 class _Held:
     frames: PivotFrames

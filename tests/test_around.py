@@ -190,3 +190,30 @@ def test_entry_points_agree():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_row_plan_and_headers(sales, spark):
+    from crossloom.operators.rowplan import all_groups, column_groups, detail_title, detail_view, row_plan
+
+    r = pivot(sales, REQUEST)
+    rows = [tuple(x)[1:] for x in row_plan(r).orderBy("position").collect()]
+    assert [(k, a, b, int(v)) for k, _, a, b, v in rows] == [
+        ("group", "East", "", 157), ("detail", "East", "A", 150), ("detail", "East", "B", 7), ("group", "West", "", 10), ("detail", "West", "A", 9), ("detail", "West", "B", 1), ("grand", "", "", 167),
+    ]
+    assert [x["kind"] for x in row_plan(r, [("East",)]).orderBy("position").collect()] == ["group", "group", "detail", "detail", "grand"]
+    assert {x["key"] for x in all_groups(r).collect()} == {"East", "West"}
+    by_value = pivot(sales, PivotRequest(REQUEST.rows, REQUEST.columns, REQUEST.values, (), RowSort(SortBy.ROW_TOTAL, True, value_key="amount_sum")))
+    assert [(x["r0"], x["r1"]) for x in row_plan(by_value).where("kind = 'detail'").orderBy("position").collect()] == [("East", "A"), ("East", "B"), ("West", "A"), ("West", "B")]
+    heads = column_groups(pivot(sales, PivotRequest((), ("category", "year"), REQUEST.values))).collect()
+    assert sorted((h["level"], h["start"], h["span"]) for h in heads) == [(0, 0, 2), (0, 2, 2), (1, 0, 1), (1, 1, 1), (1, 2, 1), (1, 3, 1)]
+    assert detail_view(sales, {"AMOUNT": "Amount due", "x": "y"}).columns == ["Amount due"] and detail_title(["East", ""], [], "Sum") == "East / - / Sum"
+
+
+def test_page_reader_restarts_an_expired_session(spark, sales):
+    from crossloom.plans.session import PageReader
+
+    now = [0.0]
+    reader = PageReader(PivotService(spark, lambda s, h: sales, clock=lambda: now[0]), REQUEST, size=10)
+    assert len(reader.rows(3)) == 4
+    now[0] = 10_000
+    assert len(reader.rows(3)) == 4 and reader.rows(13) == [] and len(reader.pages) == 1
