@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import bounded_batches, cut
 from .learning import fold
 from .textcore import GROUP_BYTES, NOT_SPACE, Words, groups, lower
 
@@ -315,6 +315,7 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold(F.col(doc_id), folds) == held_out).alias("held_out"), F.col(text).cast("string").alias("text"))
     words, grams = train(rows, depth)
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()

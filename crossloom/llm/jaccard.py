@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import bounded_batches, cut
 from .components import components
 from .textcore import NOT_SPACE, Words, groups, mix
 
@@ -137,7 +137,7 @@ def _windows(parts: int):
                         seen.add(sig)
                     held.append((sig, len(s), s[: len(s) - least_overlap(len(s)) + pivots_shared(len(s))]))
                     size += len(held[-1][2])
-            if size > 2_000_000:
+            if size > 500_000:
                 yield from flush()
                 held, size = [], 0
         yield from flush()
@@ -291,6 +291,7 @@ def link_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     Returns doc_id, n_shingles, component_id (the least id reachable, itself included)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = cut(rows.mapInArrow(_describe, "doc_id long, n_shingles long, sig long"), "jaccard-docs")
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .common import bounded_batches
+
 #: Labelled rows that a model is fitted on, at most. A bound of the driver's memory, not of the data scored.
 SAMPLE_ROWS = 20_000
 
@@ -24,6 +26,7 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, *, doc_id: str = "
 
     Labels that are null or without id don't count; of several labels for an id the largest counts.
     The picked ids are at most `limit` rows, which is why they may be broadcast."""
+    bounded_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     if train is not None:
         marks = marks.where(train)
@@ -35,6 +38,7 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, *, doc_id: str = "
 
 def add_columns(df: DataFrame, text: str, compute: Callable[[pa.Array], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
     """df with columns that compute() makes from a batch of the text column; no shuffle."""
+    bounded_batches(df.sparkSession)
     names, at = [f.name for f in fields], df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +61,7 @@ def filter_texts(docs: DataFrame, text: str, verdict: Callable[[pa.Array], np.nd
         for batch in batches:
             yield batch.filter(pa.array(verdict(batch.column(at)), pa.bool_()))
 
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text)
     return docs.mapInArrow(run, docs.schema)
 

@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import bounded_batches
 from .textcore import Words, groups, mix, word_hash
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-GROUP_BYTES = 3 << 20
+GROUP_BYTES = 1 << 20
 SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
 _SPACE, _LETTER, _MARK, _CONTROL = range(4)
 _KIND = np.full(256, _MARK, np.int8)
@@ -365,6 +366,7 @@ def encode_samples(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 number = np.concatenate([np.arange(s) for s in size]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(group)).take(pa.array(np.repeat(np.arange(len(group)), size))), pa.array(number), pieces, *(pa.array([r[j] for r in flat_rows], pa.float64()) for j in (1, 2, 3))], ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
 
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return narrow.mapInArrow(run, SCHEMA)
 
