@@ -16,12 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import cut
 from .learning import add_columns, filter_texts, labelled, sigmoid
 from .textcore import ALNUM, Words, groups
 
 GRADES = 3
 #: Labelled rows that the model is fitted on, at most, by label.
 SAMPLE = {0: 8_000, 1: 4_000}
+#: Features in the model, at most; in how many documents one must be, and how surely it must lean to toxic.
+VOCABULARY, LEAST_DOCS, LEAST_SURE = 10_000, 4, 3.0
 #: Inflected forms share a beginning; beginnings of so many bytes are features beside the words.
 STEMS = (4, 5)
 
@@ -62,7 +65,7 @@ class Severity:
         return sigmoid(self.margin(texts)[:, None] - self.cuts[None, :])
 
 
-def fit_severity(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, *, least_docs: int = 4, least_sure: float = 3.0, vocabulary: int = 10_000, penalty: float = 5e-5, steps: int = 400) -> Severity:
+def fit_severity(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, *, least_docs: int = LEAST_DOCS, least_sure: float = LEAST_SURE, vocabulary: int = VOCABULARY, penalty: float = 5e-5, steps: int = 400) -> Severity:
     """rows, words: (document, word hash) pairs without repeats; toxic: 0 or 1 by document.
 
     Without both kinds there is nothing to learn: no word has a weight, and all texts get the
@@ -119,7 +122,8 @@ def _parting(p: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int] = SAMPLE, **columns: str) -> Severity:
-    """Learns labels.toxic from at most as many rows of each label as `sample` has; tasks send the driver just word hashes of those."""
+    """Learns labels.toxic from at most as many rows of each label as `sample` has; features are counted and chosen on Spark."""
+    spark = docs.sparkSession
     rows = labelled(docs, labels, "toxic", each=sample, **columns)
 
     def run(batches):
@@ -133,7 +137,22 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "label", "words"])
 
     sparse = rows.mapInArrow(run, "doc_id long, label int, words array<long>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("words").alias("words"))
-    got = sparse.toArrow().sort_by("doc_id")
+    sparse = cut(sparse, "toxicity-sample")
+    size = {r["label"]: r["n"] for r in sparse.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # The driver gets only what can be in the model: at most VOCABULARY features, and the sample's pairs with them.
+    counts = sparse.select((F.col("label") > 0).cast("int").alias("t"), F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("a"))
+    lean = F.log((F.col("a") + 0.5) / (size.get(1, 0) + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (size.get(0, 0) + 1))
+    counts = counts.where(F.col("n") >= LEAST_DOCS).withColumns({"lean": lean, "sure": lean / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))})
+    best = counts.where(F.col("sure") >= LEAST_SURE).orderBy((F.col("lean") * F.sqrt("n")).desc(), "w").limit(VOCABULARY).select("w").toArrow()
+    keys = spark.sparkContext.broadcast(np.sort(best["w"].to_numpy()))
+
+    def known(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            words = [x[np.isin(x, keys.value)] for x in (np.asarray(v.values) if v.is_valid else np.zeros(0, np.int64) for v in lists)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "label", "words"])
+
+    got = sparse.mapInArrow(known, "doc_id long, label int, words array<long>").toArrow().sort_by("doc_id")
     lists = got["words"].combine_chunks()
     rows = np.repeat(np.arange(len(got)), np.asarray(lists.value_lengths()) if len(got) else 0)
     return fit_severity(rows, np.asarray(lists.flatten()).view(np.uint64) if len(got) else np.zeros(0, np.uint64), got["label"].to_numpy().astype(int))
