@@ -15,7 +15,7 @@ from crossloom.operators.showas import show_cells, show_column_totals, show_gran
 from .errors import PivotError
 from .request import PivotRequest, RowSort, SortBy
 
-#: Columns that a request with two or more column fields may spread to.
+#: Columns that a request with two or more column fields may spread to, and that may be broadcast.
 MAX_COLUMNS = 100_000
 
 
@@ -36,6 +36,7 @@ class PivotFrames:
     column_totals: DataFrame
     subtotals: DataFrame | None
     grand: DataFrame
+    width: int = 0
     held: list[DataFrame] = field(default_factory=list)
 
     def keys(self) -> dict[str, str]:
@@ -43,7 +44,7 @@ class PivotFrames:
 
     def labelled_cells(self) -> DataFrame:
         """Cells with both label paths."""
-        return self.cells.join(self.rows, "row_index").join(F.broadcast(self.columns), "column_index")
+        return self.cells.join(self.rows, "row_index").join(F.broadcast(self.columns) if self.width <= MAX_COLUMNS else self.columns, "column_index")
 
     def metadata(self) -> DataFrame:
         """One row: source rows after filtering, row headers, column headers, cells."""
@@ -56,18 +57,19 @@ class PivotFrames:
         self.held.clear()
 
 
-def _column_axis(agg: Aggregates, max_columns: int) -> DataFrame:
-    """column_index and labels: those seen, by first appearance; with two or more fields the full grid of
+def _column_axis(agg: Aggregates, max_columns: int) -> tuple[DataFrame, int]:
+    """(column_index and labels, how many): those seen, by first appearance; with two or more fields the full grid of
     the levels' labels, each level by first appearance, the outer level slowest."""
     seen = agg.slice(0, True)
     if len(agg.columns) == 1:
-        return numbered(seen.select(*agg.columns, "ord"), [F.col("ord"), F.col("c0")], "column_index").drop("ord")
+        size = seen.count()
+        return numbered(seen.select(*agg.columns, "ord"), [F.col("ord"), F.col("c0")], "column_index", size=size).drop("ord"), size
     levels = [numbered(seen.groupBy(c).agg(F.min("ord").alias("ord")), [F.col("ord"), F.col(c)], f"_{c}").drop("ord") for c in agg.columns]
     size = reduce(lambda a, b: a * b, [df.count() for df in levels])
     if size > max_columns:
         raise PivotError(f"the column fields spread to {size} columns; at most {max_columns} are allowed")
     grid = reduce(lambda a, b: a.crossJoin(b), levels)  # checked above
-    return numbered(grid, [F.col(f"_{c}") for c in agg.columns], "column_index").drop(*(f"_{c}" for c in agg.columns))
+    return numbered(grid, [F.col(f"_{c}") for c in agg.columns], "column_index", size=size).drop(*(f"_{c}" for c in agg.columns)), size
 
 
 def _row_order(request: PivotRequest, agg: Aggregates, totals: DataFrame, cells: DataFrame, columns: DataFrame, locale: str) -> tuple[DataFrame, list]:
@@ -109,9 +111,9 @@ def pivot(df: DataFrame, request: PivotRequest, *, order_by: list[str] | None =
         agg.frame = agg.frame.persist()
         held.append(agg.frame)
     m, names, values = len(agg.rows), agg.values, request.values
-    columns = _column_axis(agg, max_columns)
+    columns, width = _column_axis(agg, max_columns)
     raw_rows, raw_columns, grand = agg.slice(m, False), agg.slice(0, True).drop("ord"), agg.grand
-    on_axis = F.broadcast(columns) if max_columns <= MAX_COLUMNS else columns  # at most max_columns rows
+    on_axis = F.broadcast(columns) if width <= MAX_COLUMNS else columns
     raw_column_totals = columns.join(raw_columns, agg.columns, "left").select("column_index", *names)
 
     def shown(level: int) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +136,7 @@ def pivot(df: DataFrame, request: PivotRequest, *, order_by: list[str] | None =
     return PivotFrames(
         request, rows.drop(*([] if request.rows else ["r0"])), columns.select("column_index", *(c for c in agg.columns if c not in blank)),
         cells.join(rows, agg.rows).select("row_index", "column_index", *names), totals.join(rows, agg.rows).select("row_index", *names),
-        show_column_totals(raw_column_totals, names, values, grand), subtotals, show_grand(grand, names, values), held,
+        show_column_totals(raw_column_totals, names, values, grand), subtotals, show_grand(grand, names, values), width, held,
     )
 
 
