@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .learning import SAMPLE_ROWS, add_columns, edges_of, filter_texts, fold, labelled, sigmoid
-from .statistics import FEATURES, describe, document_statistics
+from .statistics import FEATURES, describe, labelled_statistics
 
 RIDGE = 1.0
 
@@ -129,9 +129,7 @@ def fit_additive(x: np.ndarray, y: np.ndarray, *, rounds: int = 120, pair_rounds
 def train_quality(docs: DataFrame, labels: DataFrame, *, limit: int = SAMPLE_ROWS, folds: int = 3, held_out: int = 1, **columns: str) -> Additive:
     """Learns labels.quality from at most `limit` labelled rows outside the held-out fold."""
     sample = labelled(docs, labels, "quality", limit=limit, train=fold(F.col("doc_id"), folds) != held_out, **columns)
-    marks = sample.groupBy("doc_id").agg(F.min("label").alias("label"))
-    rows = document_statistics(sample).groupBy("doc_id").agg(F.min("features").alias("features")).join(marks, "doc_id").orderBy("doc_id").select("features", "label").toPandas()
-    return fit_additive(np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES)), rows["label"].to_numpy(float))
+    return fit_additive(*labelled_statistics(sample))
 
 
 def _scores(model: Additive, texts: pa.Array) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .learning import SAMPLE_ROWS, add_columns, edges_of, labelled, sigmoid
-from .statistics import BASE, FEATURES, describe, document_statistics
+from .statistics import BASE, FEATURES, describe, labelled_statistics
 
 #: More of these never makes a document better.
 MONOTONE = {"symbol_share": -1, "dup_line_share": -1, "repeat_word_share": -1, "echo_share": -1, "top_word_share": -1}
@@ -113,10 +113,7 @@ def _best_split(binned, g, h, wide, edges, monotone, low, high, ridge, least):
 
 def train_rules(docs: DataFrame, labels: DataFrame, *, limit: int = SAMPLE_ROWS, **columns: str) -> Forest:
     sample = labelled(docs, labels, "quality", limit=limit, **columns)
-    marks = sample.groupBy("doc_id").agg(F.min("label").alias("label"))
-    rows = document_statistics(sample).groupBy("doc_id").agg(F.min("features").alias("features")).join(marks, "doc_id").orderBy("doc_id").select("features", "label").toPandas()
-    x = np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES))
-    return fit_forest(x, rows["label"].to_numpy(float), monotone={FEATURES.index(k): v for k, v in MONOTONE.items()})
+    return fit_forest(*labelled_statistics(sample), monotone={FEATURES.index(k): v for k, v in MONOTONE.items()})
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:

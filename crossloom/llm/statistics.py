@@ -65,15 +65,18 @@ def _ranked(ids: np.ndarray, v: int) -> np.ndarray:
     return pairs[:-1].astype(np.int64) * v + ids[2:]
 
 
-def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the BASE counts (long) and features (array of double) of every whole text; null text: empty."""
+def labelled_statistics(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) on the driver of a bounded sample (doc_id, text, label), a row per id in order of the
+    ids; of an id's repeated rows the least of each statistic. Plain columns keep the aggregation in hash tables."""
+    names = [f"f{i}" for i in range(len(FEATURES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [describe(x.as_py() or b"") for x in batch.column(1).cast(pa.binary() if pa.types.is_string(batch.column(1).type) else pa.large_binary())]
-            base = np.array([x[0] for x in found], np.int64).reshape(-1, len(BASE))
-            rows = pa.array([x[1] for x in found], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(base[:, i]) for i in range(len(BASE))], rows], ["doc_id", *BASE, "features"])
+            texts = batch.column("text")
+            found = [describe(x.as_py() or b"")[1] for x in texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())]
+            x = np.array(found, float).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *(pa.array(x[:, j].copy()) for j in range(len(FEATURES)))], ["doc_id", "label", *names])
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in BASE) + ", features array<double>")
+    rows = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, " + ", ".join(f"{n} double" for n in names))
+    got = rows.groupBy("doc_id").agg(F.min("label").alias("label"), *(F.min(n).alias(n) for n in names)).toArrow().sort_by("doc_id")
+    return np.stack([got[n].to_numpy() for n in names], 1).reshape(-1, len(FEATURES)), got["label"].to_numpy().astype(float)
