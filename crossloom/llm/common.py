@@ -70,12 +70,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends here, a lost executor
-    costs no recomputation, and several readers share one computation."""
+    costs no recomputation, and several readers share one computation.
+
+    files: for narrow tables, at most so many files (and last tasks); small files cost more than their rows."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

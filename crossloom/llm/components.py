@@ -52,7 +52,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
     """(node, component) for every node of an edge between two nodes; component is the least node reachable.
 
     Tasks first contract what edges they have to forests, which loses no connection and shortens chains. Every
@@ -60,7 +60,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     rounds end when the edges are stars. Null ends, self-edges and repeated edges change nothing; no edges
     give no rows."""
     ends = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = cut(ends.mapInArrow(_forests, "u long, v long").distinct(), "components")
+    now = cut(ends.mapInArrow(_forests, "u long, v long").distinct(), "components", files)
     while True:
         roles = now.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("center")).union(now.select("v", F.lit(0), F.lit(1)))
         loose = roles.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("center").alias("center")).where("leaf > 1 OR leaf = 1 AND center = 1")
@@ -68,5 +68,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward_least(both, True).where("u <> v").distinct()
-        now = cut(_toward_least(large, False).where("u <> v").distinct(), "components")
+        now = cut(_toward_least(large, False).where("u <> v").distinct(), "components", files)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

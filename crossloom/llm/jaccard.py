@@ -297,11 +297,12 @@ def link_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.4 * total / DEALT))
 
+    files = max(24, parts // 8)  # of the narrow tables, which have a small share of the windows' rows
     packed = rows.mapInArrow(_windows(parts), "part int, sigs binary, ns binary, times binary, keys binary").repartitionById(parts, F.col("part"))
     shared = packed.mapInArrow(_shared, "sig long, n long, key long, times long")
     rare = shared.repartition(parts, "sig").mapInArrow(_rarest, "key long, sig long, n long")
-    edges = cut(rare.repartition(parts, "key").mapInArrow(_clumps, "a long, b long"), "jaccard-clump-edges")
-    clumps = cut(components(edges).withColumnRenamed("node", "sig"), "jaccard-clumps")
+    edges = cut(rare.repartition(parts, "key").mapInArrow(_clumps, "a long, b long"), "jaccard-clump-edges", files)
+    clumps = components(edges, files=files).withColumnRenamed("node", "sig")
 
     bits, words = _bits(clumps)
     shared_bits = spark.sparkContext.broadcast((bits, words))
@@ -327,7 +328,7 @@ def link_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(items, pa.binary())], ["sig", "items"])
 
     sizes = known.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n"))
-    sizes = cut(sizes, "jaccard-classes")
+    sizes = cut(sizes, "jaccard-classes", files)
     members = clumps.join(sizes, "sig")
     shares = members.groupBy("component").agg(F.ceil(F.sum("n") / SHARE).cast("int").alias("shares"))
     members = members.join(shares, "component").select("sig", "component", "shares")
@@ -336,8 +337,8 @@ def link_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     # Share s meets every share o in task (lesser, greater); with one share that is one task.
     tasks = tasks.select("sig", F.concat_ws("/", "component", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("task"))
     found = rows.mapInArrow(survivors, "sig long, items binary").join(tasks, "sig")
-    links = cut(found.repartition(parts, "task").mapInArrow(_verify, "a long, b long"), "jaccard-links")
-    named = components(links).withColumnRenamed("node", "sig")
+    links = cut(found.repartition(parts, "task").mapInArrow(_verify, "a long, b long"), "jaccard-links", files)
+    named = components(links, files=files).withColumnRenamed("node", "sig")
 
     classes = sizes.join(named, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     heads = classes.groupBy("component").agg(F.min("least").alias("head"))

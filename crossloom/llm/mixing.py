@@ -85,7 +85,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(shard_tokens).cast("double"), F.col("_total") / MAX_SHARDS))).cast("long"),
     })
     per = _seats(per, [], [F.col("_rank")], "target", F.col("_total"), F.floor(F.col("_total") / F.col("block")), F.col("_sources"))
-    per = cut(per.select("source", "_rank", "weight", "source_size", "target", "block", "shards", F.col("seats").alias("source_blocks")), "mix-sources")
+    per = cut(per.select("source", "_rank", "weight", "source_size", "target", "block", "shards", F.col("seats").alias("source_blocks")), "mix-sources", 1)
     small = F.broadcast if per.count() <= BROADCAST_SOURCES else lambda df: df
 
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
@@ -102,7 +102,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     start = number(F.md5(F.concat_ws(":", F.lit(f"{seed}-start"), F.coalesce(F.col("source"), F.lit("")), F.col("shard").cast("string"))), 1) % F.greatest(F.col("blocks"), F.lit(1))
     quota = quota.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "blocks", (F.expr("seats div greatest(blocks, 1)")).alias("full_passes"), F.expr("seats % greatest(blocks, 1)").alias("picked"), start.alias("start"))
     # One row per shard: at most MAX_SHARDS plus one per source, so what small() decides holds here too.
-    rows = rows.join(small(cut(quota, "mix-quotas")), F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
+    rows = rows.join(small(cut(quota, "mix-quotas", 8)), F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     line = W.partitionBy("source", "shard").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("_end", F.sum("size").over(line)).withColumn("_begin", F.col("_end") - F.col("size"))
 

@@ -137,7 +137,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "label", "words"])
 
     sparse = rows.mapInArrow(run, "doc_id long, label int, words array<long>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("words").alias("words"))
-    sparse = cut(sparse, "toxicity-sample")
+    sparse = cut(sparse, "toxicity-sample", 8)
     size = {r["label"]: r["n"] for r in sparse.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
     # The driver gets only what can be in the model: at most VOCABULARY features, and the sample's pairs with them.
     counts = sparse.select((F.col("label") > 0).cast("int").alias("t"), F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("a"))
