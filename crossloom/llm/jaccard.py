@@ -60,9 +60,10 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles of five words (fewer words: of all; none: empty)."""
     words = Words(texts, NOT_SPACE)
     h = words.hashes
-    rolled = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
+    m = max(0, len(h) - SHINGLE + 1)
+    rolled = np.zeros(m, np.uint64)
     for j in range(SHINGLE):
-        rolled += h[j : len(h) - SHINGLE + 1 + j] * _C[j]
+        rolled += h[j : j + m] * _C[j]
     rolled = mix(rolled)
     out = []
     for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
@@ -159,7 +160,7 @@ def _shared(batches):
             sigs.append(np.repeat(np.frombuffer(s, np.int64), times))
             ns.append(np.repeat(np.frombuffer(n, np.uint32), times))
             keys.append(np.frombuffer(k, np.int64))
-    if not keys:
+    if not any(map(len, keys)):  # few documents leave partitions without entries
         return
     sig, n, key = np.concatenate(sigs), np.concatenate(ns).astype(np.int64), np.concatenate(keys)
     order = np.argsort(key, kind="stable")

@@ -51,6 +51,16 @@ def test_jaccard_of_nothing(nothing):
     assert got_jaccard(nothing) == []
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_jaccard_of_a_few_words(spark, n):
+    """Texts that are handled together may have fewer words in all than a shingle."""
+    text = " ".join(f"w{i}" for i in range(n))
+    split = [f"w{i}".encode() for i in range(n)] + [b""]
+    assert [len(s) for s in jaccard.shingle_sets(split)] == [1] * n + [0]
+    rows = [(7, text)]
+    assert got_jaccard(spark.createDataFrame(rows, "doc_id long, text string")) == plain_jaccard(rows)
+
+
 def test_windows_cannot_miss():
     """Two sets at the radius share enough of their windows, whatever the order."""
     rng = random.Random(1)
