@@ -43,6 +43,23 @@ def _u64(x: int) -> np.uint64:
     return np.uint64(x & 0xFFFFFFFFFFFFFFFF)
 
 
+def _spelling(model, i: int) -> bytes:
+    """What piece i spells (the word mark is a space); control and unknown pieces spell nothing."""
+    piece = model.id_to_piece(i)
+    if model.is_byte(i):
+        return bytes([int(piece[1:-1], 16)])
+    return b"" if model.is_control(i) or model.is_unknown(i) else piece.replace("▁", " ").encode()
+
+
+@lru_cache(maxsize=2)
+def spellings(path: str = VOCABULARY) -> np.ndarray:
+    """What every piece spells, by number; all that decoding needs."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return np.array([_spelling(model, i) for i in range(model.get_piece_size())], object)
+
+
 class Vocabulary:
     """Pieces as bytes (the word mark is a space), their log weights, and hashes by length."""
 
@@ -51,18 +68,15 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.bytes: list[bytes] = [b""] * n
+        self.bytes = [_spelling(model, i) for i in range(n)]
         self.byte_id = np.zeros(256, np.int32)
         by: dict[int, list[tuple[int, int]]] = {}
         weight = np.zeros(n)
         for i in range(n):
-            piece = model.id_to_piece(i)
             if model.is_byte(i):
-                value = int(piece[1:-1], 16)
-                self.bytes[i], self.byte_id[value] = bytes([value]), i
+                self.byte_id[self.bytes[i][0]] = i
                 weight[i] = -flat * math.log(n + 2.0)
             elif not (model.is_control(i) or model.is_unknown(i)):
-                self.bytes[i] = piece.replace("▁", " ").encode()
                 weight[i] = -flat * math.log(min(-model.get_score(i), n) + 2.0)
                 if b" " not in self.bytes[i][1:]:
                     by.setdefault(len(self.bytes[i]), []).append((word_hash_of(self.bytes[i]), i))
@@ -372,15 +386,21 @@ def encode_samples(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 
 def decode(rows: DataFrame, *, ids: str = "ids", out: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """rows with the text that ids spell (null ids: null), as column `out`."""
+    """rows with the text that ids spell, byte by byte (null ids: null), as column `out`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(path).bytes
+        pieces = spellings(path)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            texts = [None if x is None else b"".join(map(pieces.__getitem__, x))[1:].decode(errors="replace") for x in (r.values.to_pylist() if r.is_valid else None for r in lists)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+            texts = [b"".join(pieces[r.values.to_numpy()].tolist())[1:] if r.is_valid else None for r in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).view(pa.string())], [*batch.schema.names, out])
 
     from pyspark.sql import types as T
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
+
+
+def with_spelled(rows: DataFrame, *, path: str = VOCABULARY) -> DataFrame:
+    """rows of encode_samples, decoded again: text_bytes and text_digest (SHA-1) of the text that ids spell."""
+    back = decode(rows, out="_text", path=path)
+    return back.withColumn("text_bytes", F.octet_length("_text").cast("long")).withColumn("text_digest", F.sha1("_text")).drop("_text")

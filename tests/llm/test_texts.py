@@ -275,6 +275,26 @@ def test_pieces_round_trip(documents, nothing):
     assert pieces.encode_samples(nothing).count() == 0
 
 
+def test_the_queries_decode_what_they_encode(spark, documents, tmp_path):
+    """Over whole tables, the long text and broken UTF-8 among them."""
+    import hashlib
+
+    from corpus_pipeline import sampled_pieces
+    from crossloom.llm.catalog import op10_pieces
+
+    odd = spark.createDataFrame([(400, bytearray(b"\xff\x80a\xc3 b"))], "doc_id long, text binary").selectExpr("doc_id", "CAST(text AS string) AS text")
+    docs = documents.select("doc_id", "text").union(odd)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    raw = [(r["doc_id"], bytes(r["b"] or b"")) for r in docs.selectExpr("doc_id", "CAST(text AS binary) AS b").collect()]
+    want = Counter((d, len(b), hashlib.sha1(b).hexdigest()) for d, b in raw)
+    for rows in (op10_pieces(spark, str(tmp_path)), sampled_pieces(spark, docs, "")):
+        got = rows.select("sample", "doc_id", "text_bytes", "text_digest").collect()
+        assert Counter(tuple(r)[1:] for r in got if r["sample"] == 0) == want
+        assert all(tuple(r)[1:] in want for r in got) and any(r["sample"] == 1 for r in got)
+    back = pieces.decode(spark.createDataFrame([([],), (None,)], "ids array<int>"), out="back")
+    assert [r["back"] for r in back.collect()] == ["", None]
+
+
 def test_pieces_depend_on_the_row_only(documents):
     some = documents.where("doc_id < 30")
     key = lambda df: sorted((r["doc_id"], r["sample"], tuple(r["ids"]), r["inclusion"]) for r in df.collect())
