@@ -64,10 +64,12 @@ def _column_axis(agg: Aggregates, max_columns: int) -> tuple[DataFrame, int]:
     if len(agg.columns) == 1:
         size = seen.count()
         return numbered(seen.select(*agg.columns, "ord"), [F.col("ord"), F.col("c0")], "column_index", size=size).drop("ord"), size
-    levels = [numbered(seen.groupBy(c).agg(F.min("ord").alias("ord")), [F.col("ord"), F.col(c)], f"_{c}").drop("ord") for c in agg.columns]
-    size = reduce(lambda a, b: a * b, [df.count() for df in levels])
+    levels = [seen.groupBy(c).agg(F.min("ord").alias("ord")) for c in agg.columns]
+    sizes = [df.count() for df in levels]
+    size = reduce(lambda a, b: a * b, sizes)
     if size > max_columns:
         raise PivotError(f"the column fields spread to {size} columns; at most {max_columns} are allowed")
+    levels = [numbered(df, [F.col("ord"), F.col(c)], f"_{c}", size=n).drop("ord") for df, c, n in zip(levels, agg.columns, sizes)]
     grid = reduce(lambda a, b: a.crossJoin(b), levels)  # checked above
     return numbered(grid, [F.col(f"_{c}") for c in agg.columns], "column_index", size=size).drop(*(f"_{c}" for c in agg.columns)), size
 
@@ -128,7 +130,7 @@ def pivot(df: DataFrame, request: PivotRequest, *, order_by: list[str] | None =
     for level in range(1, m):
         own_cells, own_totals = shown(level)
         keys = agg.rows[:level]
-        places = numbered(own_totals.select(*keys, "ord"), [F.col("ord"), *(F.col(k) for k in keys)], "place").drop("ord")
+        places = numbered(own_totals.select(*keys, "ord"), [F.col("ord"), *(F.col(k) for k in keys)], "place", size=agg.slice(level, False).count()).drop("ord")
         both = own_cells.unionByName(own_totals.drop("ord").withColumn("column_index", F.lit(None).cast("long"))).join(places, keys)
         part = both.select(F.lit(level).alias("level"), "place", *keys, *(F.lit("").alias(c) for c in agg.rows[level : m - 1]), "column_index", *names)
         subtotals = part if subtotals is None else subtotals.unionByName(part)

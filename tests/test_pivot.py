@@ -127,6 +127,21 @@ def test_many_rows_are_numbered_by_a_distributed_sort(spark):
     assert sorted((r["at"], r["id"]) for r in got) == [(i, 999 - i) for i in range(1000)]
 
 
+def test_no_axis_level_is_numbered_in_one_window_if_it_is_large(spark, monkeypatch):
+    from crossloom.operators import ordering
+
+    df = spark.createDataFrame([(n, f"a{n * 7 % 5}", f"b{n * 3 % 4}", f"c{n % 4}", f"d{n * 5 % 3}") for n in range(60)], "n int, a string, b string, c string, d string")
+    request = PivotRequest(("a", "b"), ("c", "d"), (Value("n"),))
+    run = lambda: pivot(df, request, order_by=["n"])
+    rows = lambda frame: sorted((tuple(r) for r in frame.collect()), key=str)
+    small = run()
+    monkeypatch.setattr(ordering, "ONE_WINDOW", 2)
+    large = run()
+    for name in ("rows", "columns", "cells", "subtotals"):
+        assert rows(getattr(large, name)) == rows(getattr(small, name))
+        assert "row_number()" not in getattr(large, name)._jdf.queryExecution().analyzed().toString()
+
+
 SHARES = [("East", 2024, 100), ("East", 2025, 300), ("West", 2024, 100), ("West", 2025, 100)]
 
 
