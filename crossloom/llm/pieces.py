@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding, with distinct sampled segmentations by Gumbel top-k.
 
 A text's segmentations into pieces of the vocabulary are the paths of a lattice; a path's probability is
-in proportion to the product of its pieces' weights. Texts are cut into units that no used piece
-crosses (a space with the letters or marks after it), so the lattice is a chain of unit lattices. Each
+in proportion to the product of its pieces' weights. Texts are cut where two bytes meet that no piece has
+next to each other, which no piece can cross, so the lattice is a chain of unit lattices. Each
 distinct unit of a group of texts gets its lattice once: piece lookup by rolling hash, backward sums
 over bytes, all in numpy. That makes the walk from any node a chain of independent choices.
 
@@ -21,21 +21,19 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import bounded_batches
-from .textcore import Words, groups, mix, word_hash
+from .learning import free_name
+from .textcore import groups, mix
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 GROUP_BYTES = 1 << 20
 SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
-_SPACE, _LETTER, _MARK, _CONTROL = range(4)
-_KIND = np.full(256, _MARK, np.int8)
-_KIND[32], _KIND[:32], _KIND[127] = _SPACE, _CONTROL, _CONTROL
-_KIND[65:91] = _KIND[97:123] = _KIND[128:] = _LETTER
 _STEP, _UNIT, _SAMPLE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
@@ -51,41 +49,52 @@ def _spelling(model, i: int) -> bytes:
     return b"" if model.is_control(i) or model.is_unknown(i) else piece.replace("▁", " ").encode()
 
 
-@lru_cache(maxsize=2)
-def spellings(path: str = VOCABULARY) -> np.ndarray:
-    """What every piece spells, by number; all that decoding needs."""
+def _model(proto: bytes):
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sentencepiece.SentencePieceProcessor(model_proto=proto)
+
+
+@lru_cache(maxsize=2)
+def spellings(proto: bytes) -> np.ndarray:
+    """What every piece spells, by number; all that decoding needs."""
+    model = _model(proto)
     return np.array([_spelling(model, i) for i in range(model.get_piece_size())], object)
 
 
 class Vocabulary:
-    """Pieces as bytes (the word mark is a space), their log weights, and hashes by length."""
-
-    def __init__(self, path: str, flat: float) -> None:
-        import sentencepiece
+    """Pieces as bytes (the word mark is a space), their log weights, hashes of all their beginnings, and
+    which bytes some piece has next to each other."""
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+    def __init__(self, proto: bytes, flat: float) -> None:
+        model = _model(proto)
         n = model.get_piece_size()
         self.bytes = [_spelling(model, i) for i in range(n)]
         self.byte_id = np.zeros(256, np.int32)
-        by: dict[int, list[tuple[int, int]]] = {}
-        weight = np.zeros(n)
-        for i in range(n):
+        self.weight = np.zeros(n)
+        self.joined = np.zeros((256, 256), bool)
+        known: dict[int, int] = {}
+        pieces = []
+        for i, p in enumerate(self.bytes):
             if model.is_byte(i):
-                self.byte_id[self.bytes[i][0]] = i
-                weight[i] = -flat * math.log(n + 2.0)
-            elif not (model.is_control(i) or model.is_unknown(i)):
-                weight[i] = -flat * math.log(min(-model.get_score(i), n) + 2.0)
-                if b" " not in self.bytes[i][1:]:
-                    by.setdefault(len(self.bytes[i]), []).append((word_hash_of(self.bytes[i]), i))
-        self.weight = weight
+                self.byte_id[p[0]] = i
+                self.weight[i] = -flat * math.log(n + 2.0)
+            elif p:
+                self.weight[i] = -flat * math.log(min(-model.get_score(i), n) + 2.0)
+                pieces.append((i, p))
+                self.joined[list(p[:-1]), list(p[1:])] = True
         # All beginnings of pieces: hash -> piece, or -1 for a mere beginning; a run that is none ends a search.
-        known = {word_hash_of(p[:j]): -1 for own in by.values() for _, i in own for p in [self.bytes[i]] for j in range(1, len(p))}
-        known |= {h: i for own in by.values() for h, i in own}
+        self.longest = max((len(p) for _, p in pieces), default=1)
+        data = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
+        size = np.array([len(p) for _, p in pieces], np.int64)
+        start, run = np.cumsum(size) - size, _Rolling(data)
+        for length in range(1, self.longest + 1):
+            known.update(dict.fromkeys(run.hashes(start[size > length], length).tolist(), -1))
+        known.update(zip(run.hashes(start, size).tolist(), (i for i, _ in pieces)))
         self.known = HashTable(np.array(list(known), np.uint64), np.array(list(known.values()), np.int32))
-        self.longest = max(by)
+        self.table = np.zeros((n, self.longest), np.uint8)
+        for i, p in pieces:
+            self.table[i, : len(p)] = list(p)
 
 
 class HashTable:
@@ -124,14 +133,9 @@ class HashTable:
         return self.values[at], hit
 
 
-def word_hash_of(piece: bytes) -> int:
-    """The hash that Words gives these bytes as a word."""
-    return int(Words([piece], np.ones(256, bool) & (np.arange(256) != 10), fold=False).hashes[0]) if b"\n" not in piece else 0
-
-
 @lru_cache(maxsize=2)
-def vocabulary(path: str = VOCABULARY, flat: float = 1.0) -> Vocabulary:
-    return Vocabulary(path, flat)
+def vocabulary(proto: bytes, flat: float = 1.0) -> Vocabulary:
+    return Vocabulary(proto, flat)
 
 
 class Lattices:
@@ -144,15 +148,13 @@ class Lattices:
         full = [b" " + t if t else t for t in texts]
         joined = np.frombuffer(b"".join(full), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in full])]).astype(np.int64)
-        kind = _KIND[joined]
         start = np.ones(len(joined), bool)
-        start[1:] = (kind[1:] == _SPACE) | (kind[1:] == _CONTROL) | (kind[:-1] == _CONTROL) | ((kind[:-1] != _SPACE) & (kind[1:] != kind[:-1]))
+        start[1:] = ~v.joined[joined[:-1], joined[1:]] & ((joined[1:] & 0xC0) != 0x80)
         start[offsets[:-1][offsets[:-1] < len(joined)]] = True
         at = np.flatnonzero(start)
         self.bounds = np.searchsorted(at, offsets)  # units of text i are bounds[i]:bounds[i + 1]
         size = np.diff(np.concatenate([at, [len(joined)]]))
-        hashes = _hashes(joined, at, size)
-        _, place, self.unit = np.unique(hashes, return_index=True, return_inverse=True)
+        place, self.unit = _distinct(joined, at, size)
         # The distinct units side by side, each with one byte more for its last node.
         size = size[place]
         self.start = np.concatenate([[0], np.cumsum(size + 1)])
@@ -181,6 +183,8 @@ class Lattices:
             piece, hit = v.known.get(run.hashes(nodes, length))
             nodes, piece = nodes[hit], piece[hit]
             found, piece = nodes[piece >= 0], piece[piece >= 0]
+            same = (data[found[:, None] + np.arange(length)] == v.table[piece, :length]).all(1)
+            found, piece = found[same], piece[same]
             alone[found[wide[found] == length]] = True
             parts.append((found, found + length, piece))
         # The other characters go byte by byte, and so do bytes of broken UTF-8 that no character covers.
@@ -245,12 +249,23 @@ class Lattices:
         return out, count
 
 
+_BASE = 0x9E3779B97F4A7C15
+_BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        m = max(n, GROUP_BYTES + 4096)
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(m - 1, base, np.uint64))])
+    return _powers[0][:n], _powers[1][:n]
+
+
 class _Rolling:
-    """Hashes of any byte runs of a buffer, equal to those of Words."""
+    """Hashes of any byte runs of a buffer. They find what may be equal; whoever needs equality compares bytes."""
 
     def __init__(self, data: np.ndarray) -> None:
-        from .textcore import _BYTE_VALUES, _power
-
         up, self.down = _power(len(data) + 1)
         self.run = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=self.run[1:])
@@ -259,8 +274,20 @@ class _Rolling:
         return mix((self.run[at + size] - self.run[at]) * self.down[at])
 
 
-def _hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return _Rolling(data).hashes(at, size)
+def _distinct(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, number by unit) of the distinct byte runs at:at + size: found by hash, told apart by bytes."""
+    _, place, unit = np.unique(_Rolling(data).hashes(at, size), return_index=True, return_inverse=True)
+    like = place[unit]
+    same = size == size[like]
+    if same.all():
+        shift = np.repeat(at[like] - at, size)
+        same = np.array_equal(data, data[np.arange(len(data)) + shift])
+    if not np.all(same):  # different runs with one hash: by the bytes themselves
+        number: dict[bytes, int] = {}
+        runs = [data[a : a + n].tobytes() for a, n in zip(at.tolist(), size.tolist())]
+        unit = np.array([number.setdefault(r, len(number)) for r in runs], np.int64)
+        place = np.unique(unit, return_index=True)[1]
+    return place, unit
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -357,6 +384,11 @@ def _leave(lat: Lattices, edges: np.ndarray, choice: int, shut: tuple[int, ...],
     return np.concatenate([edges[:choice], np.array(tail, np.int64), fresh[begins[unit + 1] : begins[hi]]])
 
 
+def _sent(df: DataFrame, path: str):
+    """The vocabulary file (half a megabyte, whatever the table's size), read here and sent to the executors."""
+    return df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+
+
 def encode_samples(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 2, seed: int = 7, flat: float = 1.0, path: str = VOCABULARY) -> DataFrame:
     """k distinct sampled segmentations of every whole text (as many as it has, if fewer).
 
@@ -367,7 +399,7 @@ def encode_samples(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     Returns doc_id, sample (0 for the highest perturbed value), ids, log_prob, perturbed, inclusion."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, flat)
+        v = vocabulary(proto.value, flat)
         for batch in batches:
             ids = batch.column("doc_id")
             keys = mix(np.asarray(ids.fill_null(-1)).astype(np.int64).view(np.uint64) ^ np.uint64(seed))
@@ -381,23 +413,26 @@ def encode_samples(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(group)).take(pa.array(np.repeat(np.arange(len(group)), size))), pa.array(number), pieces, *(pa.array([r[j] for r in flat_rows], pa.float64()) for j in (1, 2, 3))], ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
 
     bounded_batches(docs.sparkSession)
+    proto = _sent(docs, path)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return narrow.mapInArrow(run, SCHEMA)
 
 
 def decode(rows: DataFrame, *, ids: str = "ids", out: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """rows with the text that ids spell, byte by byte (null ids: null), as column `out`."""
+    """rows with the text that ids spell, byte by byte (null ids: null), as column `out`, which takes the
+    place of a column of that name."""
+    proto, hidden = _sent(rows, path), free_name(rows, "ids")
+    kept = [c for c in rows.columns if c != out]
+    narrow = rows.withColumn(hidden, F.col(ids)).select(*kept, hidden)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = spellings(path)
+        pieces = spellings(proto.value)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
+            lists = batch.column(batch.num_columns - 1)
             texts = [b"".join(pieces[r.values.to_numpy()].tolist())[1:] if r.is_valid else None for r in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).view(pa.string())], [*batch.schema.names, out])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary()).view(pa.string())], [*batch.schema.names[:-1], out])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
+    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[:-1], T.StructField(out, T.StringType())]))
 
 
 def with_spelled(rows: DataFrame, *, path: str = VOCABULARY) -> DataFrame:

@@ -19,10 +19,10 @@ NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_STEP, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_WIDE = 8
+#: Keeps the first n bytes of eight.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(_WIDE + 1)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,14 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        m = max(n, GROUP_BYTES + 4096)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(m - 1, base, np.uint64))])
-    return _powers[0][:n], _powers[1][:n]
-
-
 def groups(batch: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(number of the first text, texts as UTF-8; null: empty) in groups of about `size` bytes."""
     kind = pa.large_binary() if pa.types.is_large_string(batch.type) else pa.binary()
@@ -71,16 +63,31 @@ class Words:
         self.starts, self.ends = turn[::2], turn[1::2]
         self.offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
         self.bounds = np.searchsorted(self.starts, self.offsets)
-        up, down = _power(len(joined) + 1)
-        self._run, self._down = np.zeros(len(joined) + 1, np.uint64), down
-        np.cumsum(_BYTE_VALUES[self.bytes] * up[:-1], out=self._run[1:])
-        self.hashes = mix((self._run[self.ends] - self._run[self.starts]) * down[self.starts])
+        self._padded = np.concatenate([self.bytes, np.zeros(_WIDE, np.uint8)])
+        self.hashes = self._hash()
+
+    def _eight(self, at: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on, as one integer."""
+        return np.lib.stride_tricks.sliding_window_view(self._padded, _WIDE)[at].view("<u8").ravel()
+
+    def _hash(self) -> np.ndarray:
+        """Every eight bytes of a word are mixed with their place before they are added, and its size at the end:
+        no equation between words holds for their hashes."""
+        size = self.ends - self.starts
+        many = -(-size // _WIDE)
+        first = np.cumsum(many) - many
+        word = np.repeat(np.arange(len(size)), many)
+        j = np.arange(len(word)) - first[word]
+        at = self.starts[word] + _WIDE * j
+        part = self._eight(at) & _FIRST[np.minimum(self.ends[word] - at, _WIDE)]
+        place = (j + 1).astype(np.uint64) * _STEP
+        mixed = mix(part ^ mix(place)) * (mix(place + _SIZE) | np.uint64(1))
+        return mix((np.add.reduceat(mixed, first) if len(size) else np.zeros(0, np.uint64)) + size.astype(np.uint64) * _SIZE)
 
     def stems(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of the words longer than size bytes, hashes of their first size bytes); never a word's hash."""
+        """(numbers of the words longer than size bytes, hashes of their first size (at most 8) bytes); never a word's hash."""
         long = np.flatnonzero(self.ends - self.starts > size)
-        at = self.starts[long]
-        return long, mix((self._run[at + size] - self._run[at]) * self._down[at] + np.uint64(size))
+        return long, mix(mix(self._eight(self.starts[long]) & _FIRST[size]) + np.uint64(size) * _STEP)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)

@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from crossloom.llm import contexttree, licences, pieces, rules, warc
 from crossloom.llm.common import purge, shared_dir
+from crossloom.llm.jaccard import shingle_sets
 from crossloom.llm.mixing import mix_sources
 from crossloom.llm.statistics import BASE, describe
+from crossloom.llm.textcore import NOT_SPACE, Words
 from tests.llm.helpers import fold, lower, words
 
 
@@ -260,9 +263,85 @@ def test_context_tree_without_training(spark, nothing):
 # ---- pieces ----
 
 
+VOCABULARY = pieces.vocabulary(Path(pieces.VOCABULARY).read_bytes())
+
+
+def all_paths(text):
+    """Every segmentation of text into pieces; characters that are no piece go byte by byte."""
+    by = {p: i for i, p in enumerate(VOCABULARY.bytes) if len(p) > 1 or p and i != VOCABULARY.byte_id[p[0]]}
+
+    def rest(at):
+        if at == len(text):
+            yield ()
+            return
+        own = [(text[at : at + n], by[text[at : at + n]]) for n in range(1, VOCABULARY.longest + 1) if at + n <= len(text) and text[at : at + n] in by]
+        wide = len(text[at:].decode()[0].encode())
+        if not any(len(p) == wide for p, _ in own):
+            for tail in rest(at + wide):
+                yield (*(int(VOCABULARY.byte_id[b]) for b in text[at : at + wide]), *tail)
+        for p, i in own:
+            for tail in rest(at + len(p)):
+                yield (i, *tail)
+
+    return set(rest(0))
+
+
+@pytest.mark.parametrize("text", ["", "a    b", "x;\r\ny", "so.”  ", "»., \t\t", "日☃ a", "\r\r;\r", "   "])
+def test_the_lattice_has_every_segmentation(text):
+    lat = pieces.Lattices([text.encode()], VOCABULARY)
+
+    def walks(node):
+        if lat.last[node]:
+            return [((), 0.0)]
+        return [((int(lat.piece[e]), *p), lat.log_p[e] + q) for e in range(lat.first[node], lat.first[node + 1]) for p, q in walks(int(lat.target[e]))]
+
+    whole = [((), 0.0)]
+    for u in lat.unit:
+        whole = [(a + b, p + q) for a, p in whole for b, q in walks(int(lat.start[u]))]
+    full = b" " + text.encode() if text else b""
+    assert {p for p, _ in whole} == all_paths(full) and len(whole) == len(all_paths(full))
+    weight = {p: sum(VOCABULARY.weight[i] for i in p) for p, _ in whole}
+    total = np.logaddexp.reduce(list(weight.values()))
+    for p, q in whole:
+        assert q == pytest.approx(weight[p] - total, abs=1e-9)
+
+
+def test_words_that_a_polynomial_hash_would_merge(spark):
+    """The Thue-Morse word and its mirror have one polynomial hash modulo 2^64, whatever the odd base."""
+    for bits in (10, 11, 12):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+        b = a.translate(str.maketrans("ab", "ba"))
+        hashes = Words([a.encode(), b.encode()], NOT_SPACE).hashes
+        assert len(set(hashes.tolist())) == 2
+        sets = shingle_sets([a.encode(), b.encode(), b"x y " + a.encode(), b"x y " + b.encode()])
+        assert len({s.tobytes() for s in sets}) == 4
+        lat = pieces.Lattices([a.encode(), b.encode()], VOCABULARY)
+        assert len(set(lat.unit.tolist())) == 2
+        for text, found in zip((a, b), pieces.sample_texts([a.encode(), b.encode()], np.array([1, 2], np.uint64), 1, VOCABULARY)):
+            assert b"".join(VOCABULARY.bytes[i] for i in found[0][0]) == b" " + text.encode()
+        docs = spark.createDataFrame([(1, a), (2, b), (6, a)], "doc_id long, text string")
+        rows = {r["doc_id"]: r for r in contexttree.score_texts(docs).collect()}
+        assert rows[1]["n_tokens"] == 2 and rows[1]["train_tokens"] == sum(2 for d in (1, 2, 6) if fold(d, 5) != 1)
+
+
+def test_words_of_all_sizes_have_their_own_hashes():
+    texts = [bytes([65 + (i * j) % 50 for i in range(n)]) for n in range(1, 40) for j in (1, 3, 7)] + [b"a" * n for n in range(1, 40)] + [b"abcdefgh" + b"ijklmnop", b"ijklmnop" + b"abcdefgh"]
+    words = Words(texts, NOT_SPACE, fold=False)
+    assert len(set(words.hashes.tolist())) == len(set(texts))
+    alone = [int(Words([t], NOT_SPACE, fold=False).hashes[0]) for t in texts]
+    assert words.hashes.tolist() == alone
+
+
+def test_decode_over_a_column_of_its_name(spark):
+    rows = spark.createDataFrame([(1, "old", [], "x")], "doc_id long, text string, ids array<int>, _ids string")
+    out = pieces.decode(rows)
+    assert out.columns == ["doc_id", "ids", "_ids", "text"] and out.first()["text"] == ""
+    assert pieces.decode(rows, out="ids").first()["ids"] == ""
+
+
 def test_pieces_round_trip(documents, nothing):
-    rows = pieces.decode(pieces.encode_samples(documents.where("doc_id IS NULL OR doc_id <> 306")), out="back")
-    want = Counter((r["doc_id"], r["text"] or "") for r in documents.where("doc_id IS NULL OR doc_id <> 306").collect())
+    rows = pieces.decode(pieces.encode_samples(documents), out="back")
+    want = Counter((r["doc_id"], r["text"] or "") for r in documents.collect())
     got = [r.asDict() for r in rows.collect()]
     assert Counter((r["doc_id"], r["back"]) for r in got if r["sample"] == 0) == want
     assert all((r["doc_id"], r["back"]) in want for r in got)
@@ -302,14 +381,14 @@ def test_pieces_depend_on_the_row_only(documents):
 
 
 def test_odd_bytes_round_trip():
-    v = pieces.vocabulary()
+    v = VOCABULARY
     for text in (b"", b" ", b"\n\n x\xe2\x96\x81y \t", "日本語 ☃ é\U0001f600".encode(), b"a" * 5000, b"\xff\x80a\xc3"):
         for ids, *_ in pieces.sample_texts([text], np.array([5], np.uint64), 3, v)[0]:
             assert b"".join(v.bytes[i] for i in ids)[1:] == text
 
 
 def test_samples_follow_the_law_of_drawing_without_replacement():
-    v, n = pieces.vocabulary(), 3000
+    v, n = VOCABULARY, 3000
     lat = pieces.Lattices([b"hello"], v)
 
     def paths(node):
