@@ -26,14 +26,16 @@ def test_jaccard_is_exact(documents):
     assert got_jaccard(documents) == plain_jaccard(rows)
 
 
-def test_jaccard_with_small_shares(documents, monkeypatch):
-    monkeypatch.setattr(jaccard, "SHARE", 300)
+@pytest.mark.parametrize("levels", [0, 1, 4])
+def test_jaccard_with_small_regions(documents, monkeypatch, levels):
+    monkeypatch.setattr(jaccard, "REGION", 300)
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     assert got_jaccard(documents) == plain_jaccard(rows)
 
 
-def test_jaccard_of_a_hot_group(spark):
-    """Near copies of one text at all distances, with a passage that strangers share."""
+def hot_rows():
+    """Near copies of one text at all distances, chains away from it, and strangers that share a passage."""
     rng = random.Random(5)
     base, passage = [f"w{i}" for i in range(120)], [f"p{i}" for i in range(60)]
     rows = []
@@ -42,11 +44,54 @@ def test_jaccard_of_a_hot_group(spark):
         for _ in range(rng.choice([0, 1, 2, 3, 5])):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
+    for c in range(3):
+        w = list(base)
+        for i in range(12):
+            w[(i * 31 + c * 7) % 120] = f"z{c}-{i}"
+            rows.append((500 + 50 * c + i, " ".join(w)))
     rows += [(1000 + i, " ".join(passage + [f"y{rng.randrange(10**6)}" for _ in range(rng.choice([3, 8, 15, 40]))])) for i in range(80)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return rows
+
+
+@pytest.mark.parametrize("settings", [{}, {"HOT_HERE": 3, "HOT": 10}, {"REGION": 3_000}, {"REGION": 1_000, "PIVOTS": 3, "HOT_HERE": 20, "HOT": 40}, {"REGION": 3_000, "LEVELS": 0}])
+def test_jaccard_of_a_hot_group(spark, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(jaccard, k, v)
+    rows = hot_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got_jaccard(df) == plain_jaccard(rows)
 
 
+def test_every_link_meets_in_one_place():
+    """Of two points within the radius one is at home where the other is at home or visits."""
+    rng = np.random.default_rng(0)
+    sets = [set(rng.choice(60, rng.integers(5, 40), replace=False).tolist()) for _ in range(40)]
+    for s in list(sets):
+        for _ in range(4):
+            sets.append({x for x in s if rng.random() > 0.08} | set(rng.choice(60, rng.integers(0, 3)).tolist()) or {1})
+    gap = lambda a, b: 1 - len(a & b) / len(a | b)
+    pivots = sets[::37]
+    home, visited = jaccard.visits(np.array([[gap(s, p) for p in pivots] for s in sets]))
+    at = [{int(h)} for h in home]
+    for rows, place in visited:
+        for r in rows.tolist():
+            at[r].add(place)
+    close = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(close) > 100 and all(home[i] in at[j] or home[j] in at[i] for i, j in close)
+    assert sum(map(len, at)) < 0.6 * len(sets) * len(pivots) * jaccard.RINGS
+
+
+def test_unlinked_sets_with_a_passage_cost_little():
+    import time
+
+    rng = np.random.default_rng(1)
+    passage = rng.integers(1, 1 << 62, 120).astype(np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(1, 1 << 62, 80).astype(np.uint64)])) for _ in range(8_000)]
+    began = time.process_time()
+    assert len(np.unique(jaccard.Clump(sets).join())) == len(sets)
+    assert time.process_time() - began < 10
+
+
 def test_jaccard_of_nothing(nothing):
     assert got_jaccard(nothing) == []
 
