@@ -133,7 +133,7 @@ def plain_vectors(rows, cosine=0.95):
     return sorted(((r[0], int(c), h if o else r[0], r[0] is not None and (not o or h == r[0])) for r, c, h, o in zip(rows, count, heads, ok)), key=str)
 
 
-@pytest.mark.parametrize("side", [16_384, 25])
+@pytest.mark.parametrize("side", [65_536, 70, 25])
 def test_vectors_are_exact(spark, monkeypatch, side):
     monkeypatch.setattr(vectors, "SIDE", side)
     rng = np.random.default_rng(2)
@@ -141,11 +141,32 @@ def test_vectors_are_exact(spark, monkeypatch, side):
     rows += [(100 + i, (np.array(rows[i % 7][1]) + rng.normal(scale=0.1 + 0.02 * (i % 9), size=12)).tolist()) for i in range(80)]
     rows += [(300 + i, rows[3][1]) for i in range(9)] + [(400, [2 * v for v in rows[3][1]]), (5, rows[5][1]), (5, rows[6][1])]
     rows += [(500, None), (501, []), (502, [0.0] * 12), (503, [1.0] * 11 + [None]), (504, [float("nan")] + [1.0] * 11), (505, [float("inf")] + [1.0] * 11), (None, rows[3][1]), (506, [1.0, 2.0]), (507, [2.0, 4.0]), (508, [3.0]), (509, [-3.0])]
-    df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<float>, n int").repartition(3)
+    df = spark.createDataFrame([(a, b, 1, 2, "t") for a, b in rows], "vec_id long, embedding array<float>, n int, x long, task string").repartition(3)
     got = sorted((tuple(r) for r in vectors.link_vectors(df).select("vec_id", "n_links", "component_id", "kept").collect()), key=str)
     assert got == plain_vectors(rows)
 
 
+def test_few_pairs_are_looked_at():
+    """Of 50,000 vectors without structure a block takes the distances of less than a tenth of all pairs."""
+    x = np.random.default_rng(0).normal(size=(50_000, 64))
+    links = vectors.Links(x, np.ones(len(x), np.int64), 3, 0.95)
+    links.within(np.arange(len(x)))
+    assert links.evaluated < 0.1 * len(x) ** 2 / 2
+
+
+def test_close_vectors_meet_in_a_cell():
+    rng = np.random.default_rng(1)
+    x = rng.normal(scale=0.125, size=(4_000, 8))
+    axis, value = vectors.cells(x[:500], 5)
+    home, visits = vectors.dealt(x, axis, value, 0.0125)
+    at = [{int(h)} for h in home]
+    for cell, rows in visits:
+        for r in rows.tolist():
+            at[r].add(cell)
+    close = np.argwhere(np.triu(((x[:, None] - x[None]) ** 2).sum(2) <= 0.0125, 1))
+    assert len(close) > 300 and all(home[i] in at[j] or home[j] in at[i] for i, j in close)
+
+
 def test_vectors_of_nothing(spark):
     assert vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
