@@ -108,17 +108,17 @@ ORACLE_SQL: dict[str, str] = {
         seat AS (SELECT rk, tot // b AS n, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rk, k) pos FROM p, LATERAL (SELECT unnest(generate_series(0, tot // b)) k) WHERE target > 0),
         won AS (SELECT rk, count(*) seats FROM seat WHERE pos <= n GROUP BY rk),
         d AS (SELECT z.doc_id, size, p.*, md5(concat_ws(':', '17', CAST(z.doc_id AS VARCHAR))) h, {_NUMBER.format("concat_ws(':', '17', CAST(z.doc_id AS VARCHAR))")} % shards AS shard FROM z JOIN p ON z.source IS NOT DISTINCT FROM p.source),
-        q AS (SELECT rk, shard, any_value(source) source, CAST(sum(size) AS BIGINT) // any_value(b) AS blocks FROM d GROUP BY rk, shard),
-        qs AS (SELECT q.rk, shard, blocks, k, least(coalesce(seats, 0), 3 * sum(blocks) OVER (PARTITION BY q.rk, k)) lim, row_number() OVER (PARTITION BY q.rk ORDER BY blocks / (2 * k + 1) DESC, shard, k) pos
-               FROM q LEFT JOIN won ON q.rk = won.rk, LATERAL (SELECT unnest(generate_series(0, 3 * blocks)) k)),
-        lim AS (SELECT q.rk, least(any_value(coalesce(seats, 0)), 3 * CAST(sum(blocks) AS BIGINT)) lim FROM q LEFT JOIN won ON q.rk = won.rk GROUP BY q.rk),
-        quota AS (SELECT q.rk, q.shard, q.blocks, q.source, count(pos) FILTER (pos <= lim.lim) seats FROM q JOIN lim ON q.rk = lim.rk LEFT JOIN qs ON q.rk = qs.rk AND q.shard = qs.shard GROUP BY ALL),
-        r AS (SELECT *, seats // greatest(blocks, 1) AS full_passes, seats % greatest(blocks, 1) AS picked,
+        q AS (SELECT rk, shard, any_value(source) source, any_value(b) b, any_value(ss) ss, any_value(target) target, CAST(sum(size) AS BIGINT) AS words, (CAST(sum(size) AS BIGINT) + any_value(b) - 1) // any_value(b) AS blocks FROM d GROUP BY rk, shard),
+        qs AS (SELECT q.rk, shard, k, row_number() OVER (PARTITION BY q.rk ORDER BY blocks / (2 * k + 1) DESC, shard, k) pos
+               FROM q, LATERAL (SELECT unnest(generate_series(0, 3 * blocks)) k)),
+        lim AS (SELECT q.rk, CASE WHEN any_value(target) >= 3 * any_value(ss) THEN 3 * CAST(sum(blocks) AS BIGINT) ELSE least(any_value(coalesce(seats, 0)), 3 * CAST(sum(blocks) AS BIGINT)) END lim FROM q LEFT JOIN won ON q.rk = won.rk GROUP BY q.rk),
+        quota AS (SELECT q.rk, q.shard, q.blocks, q.source, q.words, q.b, count(pos) FILTER (pos <= lim.lim) seats FROM q JOIN lim ON q.rk = lim.rk LEFT JOIN qs ON q.rk = qs.rk AND q.shard = qs.shard GROUP BY ALL),
+        r AS (SELECT *, least(seats * b, 3 * words) // greatest(words, 1) AS full_passes, least(seats * b, 3 * words) % greatest(words, 1) // b AS picked,
                      {_NUMBER.format("concat_ws(':', '17-start', coalesce(source, ''), CAST(shard AS VARCHAR))")} % greatest(blocks, 1) AS start FROM quota),
         o AS (SELECT d.*, r.blocks, full_passes, picked, start, CAST(sum(size) OVER (PARTITION BY d.rk, d.shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) hi FROM d JOIN r ON d.rk = r.rk AND d.shard = r.shard),
         x AS (SELECT *, hi - size AS lo FROM o),
         y AS (SELECT *, {{hi}} AS before_hi, {{lo}} AS before_lo FROM x)
-        SELECT doc_id, size, ss AS source_size, target, CAST(full_passes * (least(hi, blocks * b) - least(lo, blocks * b)) + before_hi - before_lo AS BIGINT) AS taken, source, weight FROM y""".format(
+        SELECT doc_id, size, ss AS source_size, target, CAST(full_passes * size + before_hi - before_lo AS BIGINT) AS taken, source, weight FROM y""".format(
         **{at: f"CASE WHEN picked = 0 THEN 0 WHEN {at} >= blocks * b THEN picked * b ELSE ((({at} // b) * picked + start) // blocks) * b + CASE WHEN ((({at} // b) + 1) * picked + start) // blocks > (({at} // b) * picked + start) // blocks THEN {at} % b ELSE 0 END END" for at in ("hi", "lo")}
     ),
     "op8_jaccard": rf"""

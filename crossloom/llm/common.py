@@ -6,12 +6,13 @@ import atexit
 import re
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crossloom.operators.scratch import cut, fresh_path, purge, shared_dir  # noqa: F401
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -48,41 +49,3 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset
-    (one machine, tests), a temporary folder of our own that goes with the process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    global _own
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="crossloom-")
-        atexit.register(shutil.rmtree, _own, ignore_errors=True)
-    return f"file://{_own}"
-
-
-_own: str | None = None
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: lineage ends here, a lost executor
-    costs no recomputation, and several readers share one computation.
-
-    files: for narrow tables, at most so many files (and last tasks); small files cost more than their rows."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    (df if files is None else df.coalesce(files)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def purge(spark: SparkSession) -> None:
-    """Removes every table that this application has written with cut()."""
-    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from crossloom.llm import contexttree, licences, pieces, rules, warc
 from crossloom.llm.common import purge, shared_dir
 from crossloom.llm.jaccard import shingle_sets
-from crossloom.llm.mixing import mix_sources
+from crossloom.llm.mixing import mix_sources, source_blocks
 from crossloom.llm.statistics import BASE, describe
 from crossloom.llm.textcore import NOT_SPACE, Words
 from tests.llm.helpers import fold, lower, words
@@ -142,19 +142,33 @@ def test_mix(documents, nothing):
     assert mix_sources(nothing).count() == 0
 
 
-def test_seats_are_highest_quotients(spark):
-    """Blocks per source against the plain rule, one seat at a time."""
+@pytest.mark.parametrize("one_window", [200_000, 3])
+def test_seats_are_highest_quotients(spark, monkeypatch, one_window):
+    """Blocks per source against the plain rule, one seat at a time; words taken come within a block a shard of them."""
+    from crossloom.operators import ordering
+
+    monkeypatch.setattr(ordering, "ONE_WINDOW", one_window)
     rng = np.random.default_rng(3)
-    rows = [(i, " ".join("x" * 1 for _ in range(int(n))), f"s{i % 7}") for i, n in enumerate(rng.integers(50, 400, 70))]
+    rows = [(i, " ".join("x" * 1 for _ in range(int(n))), f"s{i % 7}" if i % 7 else None) for i, n in enumerate(rng.integers(50, 400, 70))]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mix_sources(df, block_tokens=8).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n"), F.first("source_size").alias("z")).collect()
-    total, target = sum(r["z"] for r in out), {r["source"]: r["t"] for r in out}
-    block = max(1, min(8, min(r["z"] for r in out) // 100))
+    sizes = df.selectExpr("source", "CAST(size(split(text, ' ')) AS LONG) AS size")
+    per = sorted((r.asDict() for r in source_blocks(sizes, 8).collect()), key=lambda r: r["_rank"])
+    total, block = sum(r["source_size"] for r in per), per[0]["block"]
     seats = Counter()
     for _ in range(total // block):
-        seats[max(sorted(target), key=lambda s: target[s] / (2 * seats[s] + 1))] += 1
-    for r in out:
-        assert abs(r["n"] / block - seats[r["source"]]) <= 3 * 1 + 1  # caps may cost a shard's last part block
+        seats[max(range(len(per)), key=lambda k: (per[k]["target"] / (2 * seats[k] + 1), -k))] += 1
+    assert [r["source_blocks"] for r in per] == [seats[k] for k in range(len(per))]
+    assert sum(r["target"] for r in per) == pytest.approx(total) and [r["weight"] for r in per] == [1, 2, 3, 1, 2, 3, 1] and per[-1]["source"] is None
+    taken = {r["source"]: r["n"] for r in mix_sources(df, block_tokens=8).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    for k, r in enumerate(per):
+        want = min(seats[k] * block, 3 * r["source_size"])
+        assert want - 2 * block < taken[r["source"]] <= want
+
+
+def test_a_source_that_is_taken_three_times_loses_no_word(spark):
+    rows = [(i, "w " * (5 + i), "small") for i in range(9)] + [(100 + i, "w " * 997, "zbig") for i in range(20)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 'small'").collect()
+    assert len(got) == 9 and all(r["taken"] == 3 * r["size"] for r in got)
 
 
 # ---- archives ----
