@@ -8,8 +8,10 @@ plus half the product of its children's. Scoring mixes the estimates along the p
 those weights; a context that training never saw at a node adds nothing, the mixture ends above it.
 
 On Spark: tasks count (context, byte) grams and words per partition, one shuffle sums them; the tree is
-worked out in partitions dealt by the last two bytes of the context, which hold whole subtrees, with the
-(at most 256^3) nodes of depth two joined on the driver; each gram seen anywhere gets one number.
+worked out in partitions dealt by the last two bytes of the context, which hold whole subtrees; contexts of two bytes
+with over a thousandth of all grams (and over HOT_GRAMS of them) are dealt by three. Spark sums what the subtrees hand up: the
+driver joins the (at most 256^2) nodes of depth one and those of the at most thousand split contexts;
+each gram seen anywhere gets one number.
 Scoring reads the texts again: tasks hold the most frequent words and grams, at most WORD_ENTRIES and
 GRAM_ENTRIES whatever the corpus's size, and look the rest up by a join. No text is ever shuffled.
 """
@@ -36,6 +38,8 @@ WORD_ENTRIES, GRAM_ENTRIES = 1 << 20, 1 << 21
 EDGE = 0xFF
 #: Rows of the counting tasks' tables before they are handed on.
 HELD_ROWS = 1_500_000
+#: Grams of one two-byte context that a partition takes in any case.
+HOT_GRAMS = 250_000
 WORD, GRAM = 0, 1
 #: Key of the end token among words.
 END = 0
@@ -127,10 +131,19 @@ class Level:
             zero.append(np.add.reduceat(counts * (1 - bit), first))
         keys = np.concatenate(keys or [np.zeros(0, np.int64)])
         order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.n0, self.n1 = (np.concatenate(x or [np.zeros(0)])[order].astype(float) for x in (zero, one))
-        self.one = (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
-        self.own = log_kt(self.n0, self.n1)
+        self._hold(keys[order], *(np.concatenate(x or [np.zeros(0)])[order].astype(float) for x in (zero, one)))
+
+    def _hold(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> None:
+        self.keys, self.n0, self.n1 = keys, n0, n1
+        self.one = (n1 + 0.5) / (n0 + n1 + 1)
+        self.own = log_kt(n0, n1)
+
+    @classmethod
+    def of(cls, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> Level:
+        """Nodes with these (sorted) keys and counts."""
+        out = cls.__new__(cls)
+        out._hold(keys, n0, n1)
+        return out
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, whether it is there) of node keys."""
@@ -141,10 +154,14 @@ class Level:
 
     def weigh(self, below: Level | None, up: np.ndarray | None) -> None:
         """Weighted probability and own weight, from the children's (up: each child's place here)."""
+        self.weigh_sum(None if below is None else np.bincount(up, below.weighted, len(self.keys)))
+
+    def weigh_sum(self, below: np.ndarray | None) -> None:
+        """The same from the sum of the children's weighted log probabilities (none: no depth below)."""
         if below is None:
             self.weighted, self.weight = self.own, np.ones(len(self.keys))
             return
-        a, b = math.log(0.5) + self.own, math.log(0.5) + np.bincount(up, below.weighted, len(self.keys))
+        a, b = math.log(0.5) + self.own, math.log(0.5) + below
         self.weighted = np.logaddexp(a, b)
         self.weight = np.exp(a - self.weighted)
 
@@ -170,27 +187,35 @@ def grow(grams: np.ndarray, counts: np.ndarray, top: int, depth: int) -> tuple[d
     return levels, up
 
 
-def crown(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, weighted: np.ndarray, depth: int) -> dict[int, Level]:
-    """Levels 0 and 1 (and the depth-two nodes' place below them) from the nodes of depth min(2, depth)."""
-    base = min(2, depth)
+def handed_up(level: Level, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(parent node, counts, weighted) that the nodes of depth d hand to the depth above, summed by parent."""
+    parent, up = np.unique(level.keys & ((1 << (8 * d)) - 1), return_inverse=True)
+    return parent, *(np.bincount(up, x, len(parent)) for x in (level.n0, level.n1, level.weighted))
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, *(np.bincount(back, np.concatenate([p[i] for p in parts]), len(keys)) for i in (1, 2, 3))
+
+
+def crown(sums: tuple[np.ndarray, ...], split: tuple[np.ndarray, ...], depth: int) -> dict[int, Level]:
+    """Levels 0 and 1, and of depth two the nodes of split contexts, from what was handed up to them."""
     levels: dict[int, Level] = {}
-    below = Level(np.zeros(0, np.int64), np.zeros(0))
-    order = np.argsort(keys)
-    below.keys, below.n0, below.n1, below.weighted = keys[order], n0[order], n1[order], weighted[order]
-    below.one, below.own = (below.n1 + 0.5) / (below.n0 + below.n1 + 1), log_kt(below.n0, below.n1)
-    a = math.log(0.5) + below.own
-    below.weight = np.exp(a - below.weighted) if depth > base else np.ones(len(keys))
-    levels[base], up = below, {}
-    for d in range(base - 1, -1, -1):
-        child, here = levels[d + 1], Level(np.zeros(0, np.int64), np.zeros(0))
-        parent = child.keys & ((1 << (8 * (d + 1))) - 1)
-        here.keys, up[d + 1] = np.unique(parent, return_inverse=True)
-        here.n0, here.n1 = (np.bincount(up[d + 1], x, len(here.keys)) for x in (child.n0, child.n1))
-        here.one, here.own = (here.n1 + 0.5) / (here.n0 + here.n1 + 1), log_kt(here.n0, here.n1)
-        here.weigh(child, up[d + 1])
-        levels[d] = here
-    for d in range(base + 1):
-        levels[d].descend(levels.get(d - 1), up.get(d))
+    if len(split[0]):
+        levels[2] = Level.of(*_merged([split])[:3])
+        levels[2].weigh_sum(_merged([split])[3])
+        sums = _merged([sums, handed_up(levels[2], 2)])
+    top = min(1, depth)
+    keys, n0, n1, below = _merged([sums])
+    levels[top] = Level.of(keys, n0, n1)
+    levels[top].weigh_sum(below if depth > top else None)
+    if top:
+        keys, n0, n1, below = handed_up(levels[1], 1)
+        levels[0] = Level.of(keys, n0, n1)
+        levels[0].weigh_sum(below)
+    for d in sorted(levels):
+        up = levels[d - 1].find(levels[d].keys & ((1 << (8 * d)) - 1))[0] if d else None
+        levels[d].descend(levels.get(d - 1), up)
     return levels
 
 
@@ -232,34 +257,46 @@ def train(docs: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     words, grams = counted.where(F.col("kind") == WORD).where("n > 0").select("key", "n"), counted.where(F.col("kind") == GRAM).select("key", "n")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(grams.count() / 500_000))
     base = min(2, depth)
-    dealt = grams.withColumn("suffix", F.expr(f"shiftright(key, 8) & {(1 << (8 * base)) - 1}")).repartition(parts, "suffix").select("key", "n")
+    tail = F.expr(f"shiftright(key, 8) & {(1 << (8 * base)) - 1}")
+    crowded = grams.groupBy(tail.alias("tail")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(HOT_GRAMS, grams.count() // 1000)).select("tail") if depth > 2 else None
+    # At most a thousand contexts can have over a thousandth each.
+    hot = np.sort([r["tail"] for r in crowded.collect()]).astype(np.int64) if crowded is not None else np.zeros(0, np.int64)
+    suffix = F.when(tail.isin(hot.tolist()), F.expr(f"(shiftright(key, 8) & {(1 << 24) - 1}) + {1 << 24}")).otherwise(tail) if len(hot) else tail
+    dealt = grams.withColumn("suffix", suffix).repartition(parts, "suffix").select("key", "n")
+
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict[int, Level], dict[int, np.ndarray]]]:
+        """(depth of the roots, grams, counts, levels, places) of a partition: contexts dealt whole, then split ones."""
+        keys, counts = _whole(batches)
+        split = np.isin((keys >> 8) & 0xFFFF, hot) if len(hot) else np.zeros(len(keys), bool)
+        for top, of in ((base, ~split), (base + 1, split)):
+            if of.any():
+                k, c = keys[of], counts[of]
+                yield top, k, c, *grow(k[c > 0], c[c > 0], top, depth)
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = _whole(batches)
-        levels, _ = grow(keys[counts > 0], counts[counts > 0], base, depth)
-        x = levels[base]
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x.keys, x.n0, x.n1, x.weighted)], ["key", "n0", "n1", "weighted"])
+        for top, _, _, levels, _ in subtrees(batches):
+            x = levels[top]
+            rows = (x.keys, x.n0, x.n1, x.weighted) if top < 2 else handed_up(x, top)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[0]), top > 2)), *(pa.array(v) for v in rows)], ["split", "key", "n0", "n1", "weighted"])
 
-    # One row per node of depth two: at most 256^3, by the alphabet and not by the corpus.
-    got = dealt.mapInArrow(roots, "key long, n0 double, n1 double, weighted double").toArrow()
-    heads = crown(*(got[c].to_numpy() for c in ("key", "n0", "n1", "weighted")), depth)
-    shared = spark.sparkContext.broadcast({d: (x.keys, x.mixed, x.left, x.last) for d, x in heads.items()})
+    # Nodes of depth one, at most 256^2, and of depth two under split contexts, at most 256 for each.
+    got = dealt.mapInArrow(roots, "split boolean, key long, n0 double, n1 double, weighted double").groupBy("split", "key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted"))).toArrow()
+    columns, split = [got[c].to_numpy() for c in ("key", "n0", "n1", "weighted")], got["split"].to_numpy().astype(bool)
+    heads = crown(tuple(c[~split] for c in columns), tuple(c[split] for c in columns), depth)
+    shared = spark.sparkContext.broadcast(heads)
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = _whole(batches)
-        levels, up = grow(keys[counts > 0], counts[counts > 0], base, depth)
-        for d, (k, mixed, left, last) in shared.value.items():
-            if d < base:
-                levels[d] = Level(np.zeros(0, np.int64), np.zeros(0))
-                levels[d].keys, levels[d].last = k, last
-            else:
-                at = np.searchsorted(k, levels[base].keys)
-                levels[base].mixed, levels[base].left, levels[base].last = mixed[at], left[at], last[at]
-        for d in range(base + 1, depth + 1):
-            levels[d].descend(levels[d - 1], up[d])
-        for i in range(0, len(keys), 200_000):
-            part = slice(i, i + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(counts[part]), pa.array(gram_values(keys[part], levels, depth))], ["key", "n", "value"])
+        for top, keys, counts, levels, up in subtrees(batches):
+            for d in range(top):
+                levels[d] = shared.value[d]
+            if top < 2:  # the whole tree is in the crown
+                levels[top] = shared.value[top]
+            for d in range(max(top, 2), depth + 1):
+                above = levels[d - 1]
+                levels[d].descend(above, up[d] if d > top else above.find(levels[d].keys & ((1 << (8 * d)) - 1))[0])
+            for i in range(0, len(keys), 200_000):
+                part = slice(i, i + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(counts[part]), pa.array(gram_values(keys[part], levels, depth))], ["key", "n", "value"])
 
     return words, cut(dealt.mapInArrow(value, "key long, n long, value double"), "ctw-grams")
 
