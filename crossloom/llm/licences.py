@@ -3,7 +3,9 @@
 All templates go into one suffix automaton over words. Each text is streamed through it: at every
 word the automaton's state and length are the matching statistic, the longest run ending there that
 occurs in some template. Runs that cannot grow are anchors; anchors of one template that follow each
-other in text and template are chained, and a chain that covers enough of its template is a span.
+other in text and template are chained, and a chain that covers enough of its template is a span, unless the text says
+something else where templates differ: another number, or words where a near template has some that this one has not.
+Spans of different labels over the same words compete: the one that covers most words (of as many, the larger share) stays, none if two are equal.
 Most words stand next to no template word pair, and those are passed over in numpy beforehand:
 inside a match every adjacent pair of words is a pair of some template.
 """
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
@@ -50,6 +53,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 #: Shorter runs are no anchors; wider gaps in text or template end a chain; a span covers so much of its template.
 LEAST_RUN, MAX_GAP, LEAST_COVER = 3, 12, 0.6
+#: Templates alike by so much are near; where one has more words than another tells them apart.
+NEAR = 0.7
 
 
 def tokens(text: str) -> list[str]:
@@ -80,6 +85,16 @@ class Automaton:
         for state in sorted(range(1, len(self.size)), key=lambda s: -self.size[s]):
             ends[self.link[state]] |= ends[state]
         m = len(templates)
+        #: By template: its words' hashes, which are numbers, and the places where a near template of another label has more words.
+        self.words = [self.hashes[t] for t in coded[:m]]
+        self.numbers = [np.array([w[0].isdigit() for w in t]) for t in texts[:m]]
+        self.seams: list[set[int]] = [set() for _ in range(m)]
+        for k in range(m):
+            for o in range(m):
+                if templates[k][0] != templates[o][0]:
+                    alike = SequenceMatcher(None, coded[k], coded[o], autojunk=False)
+                    if alike.ratio() >= NEAR:
+                        self.seams[k].update(i for kind, i, _, _, _ in alike.get_opcodes() if kind == "insert")
         #: (template, end) of every run that a state stands for, without the phrases'.
         self.ends = [sorted(x for x in ends[s] if x[0] < m) for s in range(len(self.size))]
         self.lengths, self.labels = [len(t) for t in coded[:m]], [label for label, _ in templates]
@@ -145,20 +160,21 @@ class Automaton:
         if before[1] >= LEAST_RUN:
             anchors.append((start + len(codes) - before[1], before[1], before[0]))
 
-    def spans(self, anchors: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, last word, share of the template) of the chains that cover enough."""
+    def spans(self, anchors: list[tuple[int, int, int]], hashes: np.ndarray, numbers: np.ndarray) -> list[tuple[str, int, int, float]]:
+        """(label, first word, last word, share of the template) of the chains that cover enough; hashes, numbers:
+        of the text's words their hashes and which are numbers."""
         by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for at, size, state in sorted(anchors):
             for k, end in self.ends[state]:
                 by[k].append((at, end - size, size))
-        out = []
+        out: list[tuple[int, int, int, int]] = []
         for k, own in by.items():
             own.sort()
-            best: list[tuple[int, int]] = []  # (words covered, first word) of the best chain that ends with each
-            found: list[tuple[float, int, int]] = []
+            best: list[tuple[int, int]] = []  # (words covered, anchor before) of the best chain that ends with each
+            found: list[tuple[int, int, int]] = []
             low = 0
             for i, (at, t, size) in enumerate(own):
-                cover, first = size, at
+                cover, before = size, -1
                 while own[low][0] + max(self.lengths) + MAX_GAP < at:
                     low += 1
                 for j in range(low, i):
@@ -166,20 +182,51 @@ class Automaton:
                     # Neighbours may overlap by the words that both could claim; those count once.
                     over = max(0, a + n - at, b + n - t)
                     if a < at and b < t and over < size and max(at - a - n, t - b - n) <= MAX_GAP and best[j][0] + size - over > cover:
-                        cover, first = best[j][0] + size - over, best[j][1]
-                best.append((cover, first))
+                        cover, before = best[j][0] + size - over, j
+                best.append((cover, before))
                 if cover >= LEAST_COVER * self.lengths[k]:
-                    found.append((min(1.0, cover / self.lengths[k]), first, at + size - 1))
-            # Best chains first, none over another of the same template.
-            taken: list[tuple[int, int]] = []
-            open_at: set[int] = set()
-            for share, first, last in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-                cells = range(first, last + 1)
-                if not any(c in open_at for c in cells):
-                    open_at.update(cells)
-                    taken.append((first, last))
-                    out.append((self.labels[k], first, last, share))
-        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+                    chain, j = [], i
+                    while j >= 0:
+                        chain.append(own[j])
+                        j = best[j][1]
+                    chain.reverse()
+                    if not self._denied(k, chain, hashes, numbers):
+                        out.append((cover, chain[0][0], at + size - 1, k))
+        # Best chains first; of chains over the same words one label, and none if two are equal.
+        out.sort(key=lambda x: (-x[0], self.lengths[x[3]], x[1], x[2], x[3]))
+        kept: list[tuple[int, int, int, int]] = []
+        settled: list[tuple[int, int, int, int]] = []
+        for x in out:
+            rivals = [y for y in settled if 2 * (min(x[2], y[2]) - max(x[1], y[1]) + 1) >= min(x[2] - x[1], y[2] - y[1]) + 1]
+            if not rivals:
+                kept.append(x)
+            else:
+                ties = [y for y in rivals if y[0] == x[0] and self.lengths[y[3]] == self.lengths[x[3]] and self.labels[y[3]] != self.labels[x[3]]]
+                kept = [y for y in kept if y not in ties]
+            settled.append(x)
+        return sorted(((self.labels[k], first, last, min(1.0, cover / self.lengths[k])) for cover, first, last, k in kept), key=lambda x: (x[1], x[2], x[0]))
+
+    def _denied(self, k: int, chain: list[tuple[int, int, int]], hashes: np.ndarray, numbers: np.ndarray) -> bool:
+        """Whether the text contradicts template k somewhere between, before or after the chain's runs."""
+        words, digits, seams = self.words[k], self.numbers[k], self.seams[k]
+        at, t, _ = chain[0]
+        gaps = [(max(0, at - t), at, 0, t, False)]
+        for (a, b, n), (at, t, _) in zip(chain, chain[1:]):
+            gaps.append((a + n, at, b + n, t, True))
+        a, b, n = chain[-1]
+        gaps.append((a + n, min(len(hashes), a + n + len(words) - b - n), b + n, len(words), False))
+        for i, j, p, q, inner in gaps:
+            # The template's numbers here against the text's.
+            mine, own = (digits[p:q], numbers[i:j]) if q > p and j > i else (digits[:0], numbers[:0])
+            if len(mine) == len(own):
+                mine = own = mine & own
+            if mine.any() and own.any() and not np.array_equal(words[p:q][mine], hashes[i:j][own]):
+                return True
+            # Words where another template has more of them.
+            more = j - i > q - p if inner else j > i
+            if more and any(p <= x <= q for x in seams if inner or 0 < x < len(words)):
+                return True
+        return False
 
 
 @lru_cache(maxsize=4)
@@ -207,7 +254,9 @@ def scan_texts(a: Automaton, texts: list[bytes]) -> list[tuple[int, list[tuple[i
     long = ends - starts >= LEAST_RUN
     for s, e, t in zip(starts[long].tolist(), ends[long].tolist(), (np.searchsorted(words.bounds, starts[long], side="right") - 1).tolist()):
         a.scan(code[s:e].tolist(), s - int(words.bounds[t]), places[t], anchors[t])
-    return [(n, places.get(t, []), a.spans(anchors[t]) if t in anchors else []) for t, n in enumerate(words.counts().tolist())]
+    first = words.bytes[words.starts]
+    numbers, bounds = (first >= 48) & (first <= 57), words.bounds.tolist()
+    return [(n, places.get(t, []), a.spans(anchors[t], words.hashes[bounds[t] : bounds[t + 1]], numbers[bounds[t] : bounds[t + 1]]) if t in anchors else []) for t, n in enumerate(words.counts().tolist())]
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("cover", T.DoubleType())]))
