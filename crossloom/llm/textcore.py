@@ -87,7 +87,7 @@ class Words:
     def stems(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the words longer than size bytes, hashes of their first size (at most 8) bytes); never a word's hash."""
         long = np.flatnonzero(self.ends - self.starts > size)
-        return long, mix(mix(self._eight(self.starts[long]) & _FIRST[size]) + np.uint64(size) * _STEP)
+        return long, mix(mix(self._eight(self.starts[long]) & _FIRST[size]) + np.uint64((size * int(_STEP)) & 0xFFFFFFFFFFFFFFFF))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)

@@ -1,44 +1,48 @@
-"""Toxicity: cumulative-link (proportional-odds) regression of severity grades on sparse word features.
+"""Toxicity: cumulative-link (proportional-odds) regression of severity grades on sparse text features.
 
 P(grade > k) = sigmoid(w . x - cut[k]) with one weight vector for all thresholds and cuts in rising
-order. x says which words, and which beginnings of words (4 and 5 bytes), a text has; only those that
-surely lean to toxic are in the model, and no weight is negative. The labels say only toxic or not; the grades of the toxic come
-from how many words of a lean-to-toxic list a text has: up to the first third of them 1, the second
-2, the rest 3. Weights are fitted by proximal gradient steps with an L1 penalty, which leaves a few
-hundred words at most; those are the model, keyed by the word's 64-bit hash.
+order. x says which words, and which beginnings of words (4 and 5 bytes), a text has, by hash in one of 2^BITS
+places; every feature counts, and weights have either sign. The labels say only toxic or not. How
+severe a toxic text is comes from evidence that its own label has no part in: the labelled rows fall
+into two halves, each half's texts are weighed by the weights that the other half's labels give, and the toxic ones'
+thirds by that are grades 1, 2 and 3. Weights are fitted to the grades' likelihood by proximal gradient steps with
+an L1 penalty, which leaves most places without weight.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import cut
 from .learning import add_columns, filter_texts, labelled, sigmoid
 from .textcore import ALNUM, Words, groups
 
 GRADES = 3
 #: Labelled rows that the model is fitted on, at most, by label.
 SAMPLE = {0: 8_000, 1: 4_000}
-#: Features in the model, at most; in how many documents one must be, and how surely it must lean to toxic.
-VOCABULARY, LEAST_DOCS, LEAST_SURE = 10_000, 4, 3.0
+#: Features fall into 2^BITS places.
+BITS = 18
 #: Inflected forms share a beginning; beginnings of so many bytes are features beside the words.
 STEMS = (4, 5)
+#: How often places may join a fit.
+ROUNDS = 4
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature hash) for every word and word beginning."""
+    """(text, place) for every word and word beginning."""
     text = np.repeat(np.arange(len(words.bounds) - 1), words.counts())
     stems = [words.stems(k) for k in STEMS]
-    return np.concatenate([text, *(text[i] for i, _ in stems)]), np.concatenate([words.hashes, *(h for _, h in stems)])
+    hashes = np.concatenate([words.hashes, *(h for _, h in stems)])
+    return np.concatenate([text, *(text[i] for i, _ in stems)]), (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 @dataclass
 class Severity:
-    """keys: sorted hashes of the words with a weight; cuts: rising thresholds of grades 1, 2, 3;
+    """keys: the places with a weight, in order; cuts: rising thresholds of grades 1, 2, 3;
     threshold: of P(grade > 0), where the rows fitted on part best into toxic and not."""
 
     keys: np.ndarray
@@ -65,50 +69,83 @@ class Severity:
         return sigmoid(self.margin(texts)[:, None] - self.cuts[None, :])
 
 
-def fit_severity(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, *, least_docs: int = LEAST_DOCS, least_sure: float = LEAST_SURE, vocabulary: int = VOCABULARY, penalty: float = 5e-5, steps: int = 400) -> Severity:
-    """rows, words: (document, word hash) pairs without repeats; toxic: 0 or 1 by document.
-
-    Without both kinds there is nothing to learn: no word has a weight, and all texts get the
+def likelihood(z: np.ndarray, cuts: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of the grades, its gradient by margin, and by cut.
+
+    With s[k] = P(grade > k), a grade g has probability s[g - 1] - s[g], and its log grows with z by 1 - s[g - 1] - s[g]."""
+    n = len(z)
+    above = np.concatenate([np.ones((n, 1)), sigmoid(z[:, None] - cuts[None, :]), np.zeros((n, 1))], 1)
+    at = np.arange(n)
+    upper, lower = above[at, grade], above[at, grade + 1]
+    p = np.maximum(upper - lower, 1e-12)
+    by_cut = np.zeros(len(cuts) + 2)
+    np.add.at(by_cut, grade, upper * (1 - upper) / p)
+    np.add.at(by_cut, grade + 1, -lower * (1 - lower) / p)
+    return float(-np.log(p).mean()), (upper + lower - 1) / n, by_cut[1:-1] / n
+
+
+def fit_ordinal(rows: np.ndarray, places: np.ndarray, grade: np.ndarray, cuts: np.ndarray, size: int, penalty: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, cuts) for (document, place) pairs and grades by document.
+
+    Steps go over the places whose slope exceeds the penalty, which alone can leave zero; then all places are
+    looked at again, and those that now exceed it join, until none does."""
+    n = len(grade)
+    w, vw, vc = np.zeros(size), np.full(size, 1e-8), np.full(len(cuts), 1e-8)
+    active = np.zeros(size, bool)
+    spread = 1e-3 * np.arange(len(cuts))
+    for _ in range(30):
+        _, gz, gc = likelihood(np.zeros(n), cuts, grade)
+        vc += gc**2
+        cuts = np.sort(cuts - 0.3 / np.sqrt(vc) * gc)
+    for turn in range(ROUNDS + 1):
+        _, gz, _ = likelihood(np.bincount(rows, w[places], n), cuts, grade)
+        more = ~active & (np.abs(np.bincount(places, gz[rows], size)) > penalty)
+        if turn == ROUNDS or not more.any():
+            turn, active, penalty = ROUNDS, w != 0, penalty / 10
+        active |= more & (turn < ROUNDS)
+        mine = active[places]
+        r, number = rows[mine], (np.cumsum(active) - 1)[places[mine]]
+        v, u, m = w[active], vw[active], int(active.sum())
+        for _ in range(steps):
+            _, gz, gc = likelihood(np.bincount(r, v[number], n), cuts, grade)
+            gv = np.bincount(number, gz[r], m)
+            u, vc = u + gv**2, vc + gc**2
+            rate = 0.3 / np.sqrt(u)
+            v = v - rate * gv
+            v = np.sign(v) * np.maximum(np.abs(v) - rate * penalty, 0)
+            cuts = np.maximum.accumulate(np.sort(cuts - 0.3 / np.sqrt(vc) * gc) - spread) + spread
+        w[active], vw[active] = v, u
+        if turn == ROUNDS:
+            return w, cuts
+
+
+def fit_severity(rows: np.ndarray, places: np.ndarray, toxic: np.ndarray, *, noise: float = 0.19, steps: int = 100) -> Severity:
+    """rows, places: (document, place) pairs without repeats; toxic: 0 or 1 by document. The penalty is noise / sqrt(documents),
+    about what a place without any bearing on the grades can reach by chance.
+
+    Without both kinds there is nothing to learn: no place has a weight, and all texts get the
     smoothed share of toxic ones (none at all without rows)."""
     n = len(toxic)
     share = (toxic.sum() + 0.5) / (n + 1.0) if n else 1e-6
     flat = np.log(1 / share - 1) + np.arange(GRADES)
     if len(np.unique(toxic)) < 2:
-        return Severity(np.zeros(0, np.uint64), np.zeros(0), flat)
-    keys, column, count = np.unique(words, return_inverse=True, return_counts=True)
-    with_toxic = np.bincount(column, toxic[rows], len(keys))
-    lean = np.log((with_toxic + 0.5) / (toxic.sum() + 1)) - np.log((count - with_toxic + 0.5) / (n - toxic.sum() + 1))
-    # How sure it is that a feature leans to toxic, in standard errors; the others stay out of the model.
-    sure = lean / np.sqrt(1 / (with_toxic + 0.5) + 1 / (count - with_toxic + 0.5))
-    strength = np.where((count >= least_docs) & (sure >= least_sure), lean * np.sqrt(count), -1)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:vocabulary])
-    chosen = chosen[strength[chosen] > 0]
-    place = np.full(len(keys), -1)
-    place[chosen] = np.arange(len(chosen))
-    ok = place[column] >= 0
-    r, c = rows[ok], place[column[ok]]
-    if not len(chosen):
-        return Severity(np.zeros(0, np.uint64), np.zeros(0), flat)
-    # Grades of the toxic documents: thirds of the number of words that lean to toxic at least e^3 to 1.
-    hits = np.bincount(r, (lean[chosen] > 3)[c], n)
-    third = np.quantile(hits[toxic == 1], [1 / 3, 2 / 3], method="lower")
-    grade = np.where(toxic == 1, 1 + (hits > third[0]) + (hits > third[1]), 0).astype(int)
-    over = (grade[:, None] > np.arange(GRADES)[None, :]).astype(float)
-    order = np.argsort(c, kind="stable")
-    rc, cc = r[order], c[order]
-    w, cuts = np.zeros(len(chosen)), flat.copy()
-    vw, scale = np.full(len(chosen), 1e-8), 1e-8 + np.zeros(GRADES)
-    for _ in range(steps):
-        z = np.bincount(rc, w[cc], n)
-        gap = (sigmoid(z[:, None] - cuts[None, :]) - over) / n
-        gw, gc = np.bincount(cc, gap.sum(1)[rc], len(chosen)), -gap.sum(0)
-        vw, scale = vw + gw**2, scale + gc**2
-        rate = 0.3 / np.sqrt(vw)
-        w = w - rate * gw
-        w = np.maximum(w - rate * penalty, 0)  # ordinary words make no text less severe
-        cuts = np.sort(cuts - 0.3 / np.sqrt(scale) * gc)
+        return Severity(np.zeros(0, np.int64), np.zeros(0), flat)
+    toxic = toxic.astype(int)
+    keys, column = np.unique(places, return_inverse=True)
+    penalty = noise / math.sqrt(n)
+    # Each half's evidence from the other half's labels.
+    half, evidence = np.arange(n) % 2, np.zeros(n)
+    for h in (0, 1):
+        if len(np.unique(toxic[half == h])) > 1:
+            mine = half[rows] == h
+            number = np.cumsum(half == h) - 1
+            w, _ = fit_ordinal(number[rows[mine]], column[mine], toxic[half == h], flat[:1], len(keys), penalty, steps)
+            evidence[half != h] = np.bincount(rows, w[column], n)[half != h]
+    third = np.quantile(evidence[toxic == 1], [1 / 3, 2 / 3], method="lower")
+    grade = np.where(toxic == 1, 1 + (evidence > third[0]) + (evidence > third[1]), 0).astype(int)
+    w, cuts = fit_ordinal(rows, column, grade, flat, len(keys), penalty, steps)
     used = w != 0
-    return Severity(keys[chosen][used], w[used], cuts, _parting(sigmoid(np.bincount(rc, w[cc], n) - cuts[0]), toxic))
+    return Severity(keys[used], w[used], cuts, _parting(sigmoid(np.bincount(rows, w[column], n) - cuts[0]), toxic))
 
 
 def _parting(p: np.ndarray, toxic: np.ndarray) -> float:
@@ -122,8 +159,7 @@ def _parting(p: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int] = SAMPLE, **columns: str) -> Severity:
-    """Learns labels.toxic from at most as many rows of each label as `sample` has; features are counted and chosen on Spark."""
-    spark = docs.sparkSession
+    """Learns labels.toxic from at most as many rows of each label as `sample` has; of them the driver gets the places they have."""
     rows = labelled(docs, labels, "toxic", each=sample, **columns)
 
     def run(batches):
@@ -133,29 +169,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int]
                 text, found = features(Words(group, ALNUM))
                 order = np.argsort(text, kind="stable")
                 cuts = np.searchsorted(text[order], np.arange(len(group) + 1))
-                rows += [np.unique(found[order[a:b]]).view(np.int64) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "label", "words"])
-
-    sparse = rows.mapInArrow(run, "doc_id long, label int, words array<long>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("words").alias("words"))
-    sparse = cut(sparse, "toxicity-sample", 8)
-    size = {r["label"]: r["n"] for r in sparse.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    # The driver gets only what can be in the model: at most VOCABULARY features, and the sample's pairs with them.
-    counts = sparse.select((F.col("label") > 0).cast("int").alias("t"), F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("a"))
-    lean = F.log((F.col("a") + 0.5) / (size.get(1, 0) + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (size.get(0, 0) + 1))
-    counts = counts.where(F.col("n") >= LEAST_DOCS).withColumns({"lean": lean, "sure": lean / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))})
-    best = counts.where(F.col("sure") >= LEAST_SURE).orderBy((F.col("lean") * F.sqrt("n")).desc(), "w").limit(VOCABULARY).select("w").toArrow()
-    keys = spark.sparkContext.broadcast(np.sort(best["w"].to_numpy()))
-
-    def known(batches):
-        for batch in batches:
-            lists = batch.column("words")
-            words = [x[np.isin(x, keys.value)] for x in (np.asarray(v.values) if v.is_valid else np.zeros(0, np.int64) for v in lists)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "label", "words"])
+                rows += [np.unique(found[order[a:b]]).astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "label", "places"])
 
-    got = sparse.mapInArrow(known, "doc_id long, label int, words array<long>").toArrow().sort_by("doc_id")
-    lists = got["words"].combine_chunks()
+    sparse = rows.mapInArrow(run, "doc_id long, label int, places array<int>").groupBy("doc_id").agg(F.max(F.col("label") > 0).cast("int").alias("label"), F.min("places").alias("places"))
+    got = sparse.toArrow().sort_by("doc_id")
+    lists = got["places"].combine_chunks()
     rows = np.repeat(np.arange(len(got)), np.asarray(lists.value_lengths()) if len(got) else 0)
-    return fit_severity(rows, np.asarray(lists.flatten()).view(np.uint64) if len(got) else np.zeros(0, np.uint64), got["label"].to_numpy().astype(int))
+    return fit_severity(rows, np.asarray(lists.flatten()).astype(np.int64) if len(got) else np.zeros(0, np.int64), got["label"].to_numpy().astype(int))
 
 
 def grade_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: dict[int, int] = SAMPLE) -> DataFrame:

@@ -68,6 +68,30 @@ def test_altered_template_is_one_span():
     assert len(spans) == 1 and spans[0][0] == "mit" and 0.9 < spans[0][3] < 1
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("this work is licensed under the gnu general public license version 2", []), ("licensed under cc by-nd 4.0", []), ("Creative Commons Attribution-NoDerivatives 4.0 International License", []),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", []), ("licensed under CC BY 4.0.", ["cc-by"]), ("x licensed under cc by-sa 4.0 y", ["cc-by-sa"]),
+    ("this work is licensed under the GNU General Public License, version 3 or later", ["gpl-3"]),
+])
+def test_what_tells_licences_apart(text, labels):
+    assert [x[0] for x in licences.scan_texts(licences.automaton(), [text.encode()])[0][2]] == labels
+
+
+def test_one_changed_word_gives_no_wrong_label():
+    a, silent = licences.automaton(), []
+    for label, template in licences.TEMPLATES:
+        w = licences.tokens(template)
+        assert {x[0] for x in licences.scan_texts(a, [template.encode()])[0][2]} == {label}
+        if len(w) > 12:
+            for i in range(len(w)):
+                got = {x[0] for x in licences.scan_texts(a, [" ".join(w[:i] + ["xyzzy"] + w[i + 1 :]).encode()])[0][2]}
+                assert got <= {label}
+                if not got:
+                    silent.append(w[i])
+    # Only where the one word that tells two templates apart is gone.
+    assert sorted(silent) == ["2", "3", "noncommercial", "sharealike"]
+
+
 # ---- statistics and rules ----
 
 
@@ -193,7 +217,8 @@ def test_archive_predicates_reach_the_reader(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_warc(warc.to_records(df), path, max_file_bytes="800")
     files = list((tmp_path / "w").glob("*.warc"))
-    assert len(files) > 1 and not list((tmp_path / "w").glob("_*"))
+    assert len(files) > 1 and len(list((tmp_path / "w").glob("_archives-*"))) == 1 and not list((tmp_path / "w").glob("._*"))
+    (tmp_path / "w" / f"{'0' * 32}-0.warc").write_bytes(b"WARC/1.1\r\nhalf a rec")  # a lost attempt's
     some = warc.read_warc(spark, path).where("page_id >= 3 AND record_type = 'response' AND url IN ('http://h/4', 'http://h/1')")
     assert "Filter (" not in some._jdf.queryExecution().executedPlan().toString()
     assert [(r["page_id"], len(r["payload"])) for r in some.collect()] == [(4, 2000)]
@@ -201,6 +226,36 @@ def test_archive_predicates_reach_the_reader(spark, tmp_path):
     assert len(bare) == 8 and all(r["payload"] is None for r in bare)
 
 
+def test_foreign_archives(spark, tmp_path):
+    import base64
+    import gzip
+    import hashlib
+
+    def record(kind, block, *extra):
+        lines = [f"WARC-Type: {kind}".encode(), b"WARC-Record-ID: <urn:uuid:0f-%d>" % len(block), *extra, b"Content-Length: %d" % len(block)]
+        return b"WARC/1.0\r\n" + b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    page = b"<p>" + b"x" * 2000
+    plain = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + page
+    packed = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + b"".join(b"%x\r\n" % len(c) + c + b"\r\n" for c in (gzip.compress(page)[:20], gzip.compress(page)[20:], b""))
+    sha = base64.b32encode(hashlib.sha1(page).digest())
+    records = [
+        record("warcinfo", b"software: x\r\n"), record("request", b"GET / HTTP/1.1\r\n\r\n"), record("response", plain, b"WARC-Target-URI: <http://a/>", b"WARC-Payload-Digest: sha1:" + sha),
+        record("response", packed, b"WARC-Target-URI: http://b/\xff", b"X-Long: one\r\n two"), record("resource", b"abc", b"WARC-Payload-Digest: sha256:00"),
+        record("revisit", b"", b"WARC-Refers-To: <urn:uuid:5>", b"WARC-Payload-Digest: sha1:" + sha),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    digest = hashlib.sha1(page).hexdigest()
+    rows = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    want = [("warcinfo", None, None, None), ("request", None, None, None), ("response", "http://a/", len(page), digest), ("response", "http://b/ÿ", len(page), digest), ("resource", None, 3, hashlib.sha1(b"abc").hexdigest()), ("revisit", None, None, digest)]
+    assert Counter((r["record_type"], r["url"], r["payload_bytes"], r["payload_digest"]) for r in rows) == Counter(want * 2)
+    assert all(bytes(r["payload"]) == page for r in rows if r["record_type"] == "response") and {r["page_id"] for r in rows} == {None}
+    assert {r["refers_to_id"] for r in rows} == {None, "<urn:uuid:5>"}
+    big = warc.read_warc(spark, f"file://{tmp_path}", payload="false").where("payload_bytes > 100 AND record_type = 'response'").collect()
+    assert len(big) == 4 and all(r["payload"] is None for r in big)
+
+
 # ---- context tree ----
 
 
@@ -247,8 +302,9 @@ def plain_ctw(train, texts, depth):
     return out
 
 
-@pytest.mark.parametrize(("depth", "entries"), [(3, 1 << 20), (3, 4), (1, 1 << 20)])
-def test_context_tree(documents, depth, entries):
+@pytest.mark.parametrize(("depth", "entries", "hot"), [(3, 1 << 20, 250_000), (3, 4, 5), (1, 1 << 20, 5), (0, 4, 5)])
+def test_context_tree(documents, monkeypatch, depth, entries, hot):
+    monkeypatch.setattr(contexttree, "HOT_GRAMS", hot)
     small = documents.where("doc_id IS NULL OR doc_id < 306")
     rows = [(r["doc_id"], r["text"] or "") for r in small.collect()]
     out = [fold(d, 5) == 1 for d, _ in rows]
