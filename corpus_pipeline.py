@@ -35,18 +35,23 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the numbers that go, which are far fewer than those that stay."""
     number = free_name(docs, "row")
     rows = cut(docs.withColumn(number, F.monotonically_increasing_id()), "pipeline-rows")
-    gone = link_documents(rows, doc_id=number).where("doc_id <> component_id").select(F.col("doc_id").alias(number))
+    gone = cut(link_documents(rows, doc_id=number).where("doc_id <> component_id").select(F.col("doc_id").alias(number)), "pipeline-gone", 24)
     return rows.join(gone, number, "left_anti").select(docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: of one that it takes r times over and some words more,
-    r rows, and by the id's hash one more, as likely as the words are many."""
-    plan = mix_sources(docs).groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_rate"))
+    r rows, and by hash of its row number one more, as likely as the words are many.
+
+    Rows get a number first, so that repeated rows and null ids are taken on their own; the mix works on the numbers,
+    and the texts stay where they are unless the counts are too many to be sent to every task."""
+    number, times = free_name(docs, "row"), free_name(docs, "times")
+    rows = cut(docs.withColumn(number, F.monotonically_increasing_id()), "pipeline-mix-rows")
     chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("mix-copy"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    plan = plan.select(F.col("doc_id").alias("_id"), F.floor(F.col("_rate") + chance).cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    plan = mix_sources(rows, doc_id=number).select("doc_id", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + chance).cast("int").alias(times))
+    plan = cut(plan.select(F.col("doc_id").alias(number), times).where(F.col(times) > 0), "pipeline-mix", 24)
+    copies = rows.join(plan, number)
+    return copies.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
