@@ -40,10 +40,12 @@ REGION = 200_000
 PIVOTS, LEVELS = 6, 8
 #: Window entries in a partition, about.
 DEALT = 1_500_000
-#: A shingle that so many of a task's sets have at once is counted before it is shuffled; its entries go anywhere.
+#: A shingle that so many of a task's sets have at once is hot: its own partition is told so, and its entries go anywhere.
 HOT_HERE = 64
-#: A shingle that so many sets have connects the sets of each partition before it connects partitions.
+#: One that so many sets have in all is hot too; hot ones connect the sets of each partition before they connect partitions.
 HOT = 4096
+#: How many sets hot shingles count as having, which puts them last.
+MANY = 1 << 40
 RADIUS, RINGS, SLACK = 0.2, 6, 1e-9
 
 _C = [np.uint64(int(x) | 1) for x in np.random.default_rng(5).integers(1, 1 << 62, SHINGLE + 2)]
@@ -113,12 +115,12 @@ def _describe(batches):
 
 # ---- the filter ----
 
-_ENTRIES, _COUNTS, _LOOSE = range(3)
+_ENTRIES, _HOT, _LOOSE = range(3)
 
 
 def _windows(parts: int, hot_here: int):
     """Each set's window, packed by target partition: hashes and sizes by set, keys by entry. Keys that many of the
-    sets at hand have are counted (for the key's partition), and their entries go to a partition of their own choice."""
+    sets at hand have are named to the key's partition, and their entries go to a partition of their own choice."""
 
     def run(batches):
         seen: set[int] = set()
@@ -148,7 +150,7 @@ def _windows(parts: int, hot_here: int):
             part = (own[much] & 0xFFFFFFFF) % parts
             for p in np.unique(part).tolist():
                 at = much[part == p]
-                packed.append((p, _COUNTS, b"", b"", times[at].astype(np.uint32).tobytes(), own[at].tobytes()))
+                packed.append((p, _HOT, b"", b"", b"", own[at].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*packed), [pa.int32()] * 2 + [pa.binary()] * 4)], ["part", "kind", "sigs", "ns", "times", "keys"])
 
         for _, sets, sigs, _ in _sets_of(batches):
@@ -173,44 +175,31 @@ def _chunks(arrays: list, names: list[str], size: int = 200_000) -> Iterator[pa.
 
 
 def _shared(batches):
-    """Of a partition's window entries those whose key two or more sets have, with their number. Loose entries pass
-    through without it; the number of a key that was counted also goes out by itself (without a set)."""
+    """Of a partition's window entries those whose key two or more sets have, with their number; MANY for keys that are
+    hot in some task. Loose entries are of such keys and pass through."""
     names = ["sig", "n", "key", "times"]
-    sigs, ns, keys, counted, counts = [], [], [], [], []
+    sigs, ns, keys, hot = [], [], [], [np.zeros(0, np.int64)]
     for batch in batches:
         for kind, s, n, t, k in zip(*(batch.column(c).to_pylist() for c in ("kind", "sigs", "ns", "times", "keys"))):
             times, k = np.frombuffer(t, np.uint32), np.frombuffer(k, np.int64)
-            if kind == _COUNTS:
-                counted.append(k)
-                counts.append(times)
+            if kind == _HOT:
+                hot.append(k)
                 continue
             s, n = np.repeat(np.frombuffer(s, np.int64), times), np.repeat(np.frombuffer(n, np.uint32), times).astype(np.int64)
             if kind == _LOOSE:
-                yield from _chunks([s, n, k, pa.nulls(len(k), pa.int64())], names)
+                yield from _chunks([s, n, k, np.full(len(k), MANY)], names)
             else:
                 sigs.append(s)
                 ns.append(n)
                 keys.append(k)
-    extra_key, extra = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if counted:
-        extra_key, place = np.unique(np.concatenate(counted), return_inverse=True)
-        extra = np.bincount(place, np.concatenate(counts)).astype(np.int64)
     sig, n, key = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (sigs, ns, keys))
     order = np.lexsort((sig, key))
     sig, n, key = sig[order], n[order], key[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])[: len(key)]
     sig, n, key = sig[new], n[new], key[new]
     own, place, times = np.unique(key, return_inverse=True, return_counts=True)
-    if len(extra_key) and len(own):
-        at = np.minimum(np.searchsorted(extra_key, own), len(extra_key) - 1)
-        times = times + np.where(extra_key[at] == own, extra[at], 0)
-    of = times[place]
+    of = np.where(np.isin(own, np.concatenate(hot)), MANY, times)[place]
     yield from _chunks([sig[of > 1], n[of > 1], key[of > 1], of[of > 1]], names)
-    if len(extra_key):
-        if len(own):
-            at = np.minimum(np.searchsorted(own, extra_key), len(own) - 1)
-            extra = np.where(own[at] == extra_key, times[at], extra)
-        yield from _chunks([pa.nulls(len(extra_key), pa.int64()), pa.nulls(len(extra_key), pa.int64()), extra_key, extra], names)
 
 
 def _rarest(batches, hot_from: int):
@@ -516,10 +505,7 @@ def link_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     files = max(24, parts // 8)  # of the narrow tables, which have a small share of the windows' rows
     packed = rows.mapInArrow(_windows(parts, HOT_HERE), "part int, kind int, sigs binary, ns binary, times binary, keys binary").repartitionById(parts, F.col("part"))
-    shared = cut(packed.mapInArrow(_shared, "sig long, n long, key long, times long"), "jaccard-shared", parts)
-    # A counted key has one row beside its many loose entries: adaptive execution may split those, or send that one everywhere if it is small.
-    loose = shared.where("times IS NULL").drop("times").join(shared.where("sig IS NULL").select("key", "times"), "key").select("sig", "n", "key", "times")
-    entries = shared.where("sig IS NOT NULL AND times IS NOT NULL").union(loose)
+    entries = packed.mapInArrow(_shared, "sig long, n long, key long, times long")
     hot_from = HOT
     rare = entries.repartition(parts, "sig").mapInArrow(lambda b: _rarest(b, hot_from), "key long, sig long, n long")
     edges = cut(rare.repartition(parts, "key").mapInArrow(_clumps, "a long, b long"), "jaccard-clump-edges", files)
