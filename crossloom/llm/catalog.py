@@ -9,7 +9,7 @@ from .contexttree import score_texts
 from .jaccard import link_documents
 from .licences import scan_licences
 from .mixing import mix_sources
-from .pieces import encode_samples, with_spelled
+from .pieces import encode_samples
 from .quality import classify_quality
 from .rules import quality_rules
 from .toxicity import grade_toxicity
@@ -58,7 +58,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and sample; the pieces as their number and a hash, the text decoded from them as length and digest."""
-    rows = with_spelled(encode_samples(table(spark, sf_dir, "documents")))
+    rows = encode_samples(table(spark, sf_dir, "documents"), spelled=True)
     return rows.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"), "log_prob", "perturbed", "inclusion", "text_bytes", "text_digest")
 
 

@@ -18,6 +18,7 @@ All randomness is a hash of the row key and a choice's place, so results depend
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -70,6 +71,7 @@ class Vocabulary:
         model = _model(proto)
         n = model.get_piece_size()
         self.bytes = [_spelling(model, i) for i in range(n)]
+        self.spelled = np.array(self.bytes, object)
         self.byte_id = np.zeros(256, np.int32)
         self.weight = np.zeros(n)
         self.joined = np.zeros((256, 256), bool)
@@ -389,17 +391,19 @@ def _sent(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
 
-def encode_samples(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 2, seed: int = 7, flat: float = 1.0, path: str = VOCABULARY) -> DataFrame:
+def encode_samples(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 2, seed: int = 7, flat: float = 1.0, path: str = VOCABULARY, spelled: bool = False) -> DataFrame:
     """k distinct sampled segmentations of every whole text (as many as it has, if fewer).
 
     A piece's weight is (merge rank + 2) ** -flat; characters that are no piece go byte by byte. Null and
     empty texts have one segmentation, without pieces. The row key is doc_id: rows with one id and
     equal texts get equal samples; null ids share a key. Other columns are not looked at.
 
-    Returns doc_id, sample (0 for the highest perturbed value), ids, log_prob, perturbed, inclusion."""
+    Returns doc_id, sample (0 for the highest perturbed value), ids, log_prob, perturbed, inclusion; if spelled, also
+    text_bytes and text_digest (SHA-1) of the text that is decoded from the ids."""
+    schema = SCHEMA + (", text_bytes long, text_digest string" if spelled else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(proto.value, flat)
+        v, names = vocabulary(proto.value, flat), [f.split()[0] for f in schema.split(", ")]
         for batch in batches:
             ids = batch.column("doc_id")
             keys = mix(np.asarray(ids.fill_null(-1)).astype(np.int64).view(np.uint64) ^ np.uint64(seed))
@@ -410,12 +414,21 @@ def encode_samples(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 offsets = np.concatenate([[0], np.cumsum([len(r[0]) for r in flat_rows])]).astype(np.int32)
                 pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[0] for r in flat_rows]).astype(np.int32)))
                 number = np.concatenate([np.arange(s) for s in size]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(group)).take(pa.array(np.repeat(np.arange(len(group)), size))), pa.array(number), pieces, *(pa.array([r[j] for r in flat_rows], pa.float64()) for j in (1, 2, 3))], ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
+                columns = [ids.slice(first, len(group)).take(pa.array(np.repeat(np.arange(len(group)), size))), pa.array(number), pieces, *(pa.array([r[j] for r in flat_rows], pa.float64()) for j in (1, 2, 3))]
+                if spelled:
+                    texts = [spell(r[0], v.spelled) for r in flat_rows]
+                    columns += [pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha1(t).hexdigest() for t in texts])]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     bounded_batches(docs.sparkSession)
     proto = _sent(docs, path)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, SCHEMA)
+    return narrow.mapInArrow(run, schema)
+
+
+def spell(ids: np.ndarray, pieces: np.ndarray) -> bytes:
+    """The text that pieces spell, without the space that encoding puts before it."""
+    return b"".join(pieces[ids].tolist())[1:]
 
 
 def decode(rows: DataFrame, *, ids: str = "ids", out: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -429,13 +442,7 @@ def decode(rows: DataFrame, *, ids: str = "ids", out: str = "text", path: str =
         pieces = spellings(proto.value)
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
-            texts = [b"".join(pieces[r.values.to_numpy()].tolist())[1:] if r.is_valid else None for r in lists]
+            texts = [spell(r.values.to_numpy(), pieces) if r.is_valid else None for r in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary()).view(pa.string())], [*batch.schema.names[:-1], out])
 
     return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[:-1], T.StructField(out, T.StringType())]))
-
-
-def with_spelled(rows: DataFrame, *, path: str = VOCABULARY) -> DataFrame:
-    """rows of encode_samples, decoded again: text_bytes and text_digest (SHA-1) of the text that ids spell."""
-    back = decode(rows, out="_text", path=path)
-    return back.withColumn("text_bytes", F.octet_length("_text").cast("long")).withColumn("text_digest", F.sha1("_text")).drop("_text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 #: Texts are handled in groups of about so many bytes (one longer text is a group of its own).
 GROUP_BYTES = 1 << 20
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of words that end at ASCII white space.
@@ -45,6 +48,8 @@ def groups(batch: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[int, list
             held, first, out = 0, i + 1, []
     if out:
         yield first, out
+    if _trim is not None:
+        _trim(0)  # a batch is done: hand what numpy has freed back to the machine, which JVM and workers share
 
 
 def lower(buffer: np.ndarray) -> np.ndarray:

@@ -84,6 +84,20 @@ def likelihood(z: np.ndarray, cuts: np.ndarray, grade: np.ndarray) -> tuple[floa
     return float(-np.log(p).mean()), (upper + lower - 1) / n, by_cut[1:-1] / n
 
 
+#: Pairs that are summed at a time.
+PAIRS = 1 << 19
+
+
+def margins(rows: np.ndarray, places: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """w . x of n documents."""
+    return sum((np.bincount(rows[k : k + PAIRS], w[places[k : k + PAIRS]], n) for k in range(0, len(rows), PAIRS)), np.zeros(n))
+
+
+def slopes(rows: np.ndarray, places: np.ndarray, gz: np.ndarray, size: int) -> np.ndarray:
+    """The gradient by place from that by document."""
+    return sum((np.bincount(places[k : k + PAIRS], gz[rows[k : k + PAIRS]], size) for k in range(0, len(rows), PAIRS)), np.zeros(size))
+
+
 def fit_ordinal(rows: np.ndarray, places: np.ndarray, grade: np.ndarray, cuts: np.ndarray, size: int, penalty: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """(weights, cuts) for (document, place) pairs and grades by document.
 
@@ -98,17 +112,17 @@ def fit_ordinal(rows: np.ndarray, places: np.ndarray, grade: np.ndarray, cuts: n
         vc += gc**2
         cuts = np.sort(cuts - 0.3 / np.sqrt(vc) * gc)
     for turn in range(ROUNDS + 1):
-        _, gz, _ = likelihood(np.bincount(rows, w[places], n), cuts, grade)
-        more = ~active & (np.abs(np.bincount(places, gz[rows], size)) > penalty)
+        _, gz, _ = likelihood(margins(rows, places, w, n), cuts, grade)
+        more = ~active & (np.abs(slopes(rows, places, gz, size)) > penalty)
         if turn == ROUNDS or not more.any():
             turn, active, penalty = ROUNDS, w != 0, penalty / 10
         active |= more & (turn < ROUNDS)
         mine = active[places]
-        r, number = rows[mine], (np.cumsum(active) - 1)[places[mine]]
+        r, number = rows[mine], (np.cumsum(active) - 1).astype(np.int32)[places[mine]]
         v, u, m = w[active], vw[active], int(active.sum())
         for _ in range(steps):
-            _, gz, gc = likelihood(np.bincount(r, v[number], n), cuts, grade)
-            gv = np.bincount(number, gz[r], m)
+            _, gz, gc = likelihood(margins(r, number, v, n), cuts, grade)
+            gv = slopes(r, number, gz, m)
             u, vc = u + gv**2, vc + gc**2
             rate = 0.3 / np.sqrt(u)
             v = v - rate * gv
@@ -131,21 +145,21 @@ def fit_severity(rows: np.ndarray, places: np.ndarray, toxic: np.ndarray, *, noi
     if len(np.unique(toxic)) < 2:
         return Severity(np.zeros(0, np.int64), np.zeros(0), flat)
     toxic = toxic.astype(int)
-    keys, column = np.unique(places, return_inverse=True)
+    size = int(places.max(initial=0)) + 1
     penalty = noise / math.sqrt(n)
     # Each half's evidence from the other half's labels.
     half, evidence = np.arange(n) % 2, np.zeros(n)
     for h in (0, 1):
         if len(np.unique(toxic[half == h])) > 1:
             mine = half[rows] == h
-            number = np.cumsum(half == h) - 1
-            w, _ = fit_ordinal(number[rows[mine]], column[mine], toxic[half == h], flat[:1], len(keys), penalty, steps)
-            evidence[half != h] = np.bincount(rows, w[column], n)[half != h]
+            number = (np.cumsum(half == h) - 1).astype(np.int32)
+            w, _ = fit_ordinal(number[rows[mine]], places[mine], toxic[half == h], flat[:1], size, penalty, steps)
+            evidence[half != h] = margins(rows, places, w, n)[half != h]
     third = np.quantile(evidence[toxic == 1], [1 / 3, 2 / 3], method="lower")
     grade = np.where(toxic == 1, 1 + (evidence > third[0]) + (evidence > third[1]), 0).astype(int)
-    w, cuts = fit_ordinal(rows, column, grade, flat, len(keys), penalty, steps)
-    used = w != 0
-    return Severity(keys[used], w[used], cuts, _parting(sigmoid(np.bincount(rows, w[column], n) - cuts[0]), toxic))
+    w, cuts = fit_ordinal(rows, places, grade, flat, size, penalty, steps)
+    used = np.flatnonzero(w)
+    return Severity(used, w[used], cuts, _parting(sigmoid(margins(rows, places, w, n) - cuts[0]), toxic))
 
 
 def _parting(p: np.ndarray, toxic: np.ndarray) -> float:
@@ -175,8 +189,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int]
     sparse = rows.mapInArrow(run, "doc_id long, label int, places array<int>").groupBy("doc_id").agg(F.max(F.col("label") > 0).cast("int").alias("label"), F.min("places").alias("places"))
     got = sparse.toArrow().sort_by("doc_id")
     lists = got["places"].combine_chunks()
-    rows = np.repeat(np.arange(len(got)), np.asarray(lists.value_lengths()) if len(got) else 0)
-    return fit_severity(rows, np.asarray(lists.flatten()).astype(np.int64) if len(got) else np.zeros(0, np.int64), got["label"].to_numpy().astype(int))
+    rows = np.repeat(np.arange(len(got), dtype=np.int32), np.asarray(lists.value_lengths()) if len(got) else 0)
+    return fit_severity(rows, np.asarray(lists.flatten()) if len(got) else np.zeros(0, np.int32), got["label"].to_numpy().astype(int))
 
 
 def grade_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: dict[int, int] = SAMPLE) -> DataFrame:
