@@ -13,7 +13,7 @@ from crossloom.llm.common import cut, ship, table
 from crossloom.llm.jaccard import link_documents
 from crossloom.llm.learning import free_name
 from crossloom.llm.mixing import mix_sources
-from crossloom.llm.pieces import encode_samples, with_spelled
+from crossloom.llm.pieces import encode_samples
 from crossloom.llm.quality import keep_good
 from crossloom.llm.toxicity import keep_civil
 
@@ -56,7 +56,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every document, with length and digest of the text decoded from each."""
-    return with_spelled(encode_samples(docs))
+    return encode_samples(docs, spelled=True)
 
 
 STAGES = [
