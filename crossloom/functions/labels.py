@@ -10,8 +10,8 @@ from pyspark.sql import Column, functions as F, types as T
 
 from crossloom.plans.errors import FieldTypeError
 
-#: Decimals kept of float and double measures.
-SCALE = 4
+#: Decimals kept of float and double measures that are summed.
+SCALE = 12
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -39,8 +39,9 @@ def label(column: Column, kind: T.DataType) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def measure(column: Column, kind: T.DataType, field: str, aggregation: str, scale: int = SCALE) -> Column:
-    """The column as the aggregation takes it: exact decimals; any type for counts.
+def measure(column: Column, kind: T.DataType, field: str, aggregation: str, scale: int = SCALE, plain: bool = True) -> Column:
+    """The column as the aggregation takes it: exact decimals; any type for counts. Least and greatest of floats and doubles
+    stay as they are where they are shown plain, without further sums or differences.
 
     NaN and infinities raise at run time, since a cast would quietly make them null."""
     if aggregation == "count":
@@ -53,7 +54,9 @@ def measure(column: Column, kind: T.DataType, field: str, aggregation: str, scal
         return column.cast("decimal(20,0)")
     odd = F.isnan(column) | (F.abs(column) == float("inf"))
     fine = F.when(odd, F.raise_error(F.lit(f"{aggregation} of {field}: a value is not finite")).cast("double")).otherwise(column)
-    return fine.cast(f"decimal(28,{scale})")
+    if aggregation in ("min", "max") and plain:
+        return fine.cast("double")
+    return fine.cast("double").cast(f"decimal(38,{scale})") if isinstance(kind, T.DoubleType) else fine.cast("string").cast(f"decimal(38,{scale})")
 
 
 def divide(a: Column, b: Column) -> Column:

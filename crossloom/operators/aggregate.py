@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from crossloom.functions.labels import SCALE, divide, label, measure
 from crossloom.operators.filters import _quoted, apply_filters
-from crossloom.plans.request import Aggregation, PivotRequest, Value
+from crossloom.plans.request import Aggregation, PivotRequest, ShowAs, Value
 
 
 def row_names(n: int) -> list[str]:
@@ -60,7 +60,7 @@ def aggregate_all(df: DataFrame, request: PivotRequest, order_by: list[str] | No
     base = apply_filters(df, request.filters)
     rows, columns, values = row_names(max(1, len(request.rows))), column_names(max(1, len(request.columns))), value_names(request.values)
     labelled = lambda names, own: [label(_quoted(fields[f].name), fields[f].dataType).alias(n) for n, f in zip(names, own)] or [F.lit("").alias(names[0])]
-    measures = [measure(_quoted(fields[v.field].name), fields[v.field].dataType, v.field, v.aggregation.value, scale).alias(n) for n, v in zip(values, request.values)]
+    measures = [measure(_quoted(fields[v.field].name), fields[v.field].dataType, v.field, v.aggregation.value, scale, v.show_as is ShowAs.NORMAL).alias(n) for n, v in zip(values, request.values)]
     order = [_quoted(c) for c in order_by] if order_by else [F.monotonically_increasing_id()]
     base = base.select(*labelled(rows, request.rows), *labelled(columns, request.columns), *measures, (order[0] if len(order) == 1 else F.struct(*order)).alias("ord"))
     made = [aggregate(n, v.aggregation).alias(n) for n, v in zip(values, request.values)]

@@ -287,7 +287,7 @@ QUERIES = {
 
 
 def _exact(c: str) -> str:
-    return f"CAST({c} AS DECIMAL(28,4))"
+    return f"CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,12))"
 
 
 _SUM = f"CAST(sum({_exact('l_extendedprice')}) AS DOUBLE) AS l_extendedprice_sum"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Mapping
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -12,7 +13,7 @@ from crossloom.plans.errors import PivotError
 
 #: A provider makes a source when asked, with a hint of how many rows are wanted (or None).
 Provider = Callable[[SparkSession, int | None], DataFrame]
-NUMBER = "decimal(28,6)"
+NUMBER = "decimal(38,12)"
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -35,12 +36,12 @@ def json_files(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 def json_text(spark: SparkSession, text: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A request's own records: an array of flat objects. Names that differ in case only are an error."""
-    rows = json.loads(text, parse_float=str, object_pairs_hook=_pairs)
+    rows = json.loads(text, parse_float=Decimal, object_pairs_hook=_pairs)
     if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
         raise PivotError("records must be an array of objects")
     if any(isinstance(v, (dict, list)) for r in rows for v in r.values()):
         raise PivotError("records must be flat")
-    return records(spark, json.loads(text, object_pairs_hook=_pairs), schema)
+    return records(spark, rows, schema)
 
 
 def _pairs(pairs: list[tuple[str, object]]) -> dict:
@@ -65,9 +66,18 @@ def records(spark: SparkSession, rows: Iterable[Mapping[str, object]], schema: T
     for n in names:
         if kinds[n] <= {bool}:
             types.append(T.StructField(n, T.BooleanType()))
-        elif kinds[n] <= {int}:
-            types.append(T.StructField(n, T.LongType()))
-        elif kinds[n] <= {int, float}:
+        elif kinds[n] <= {int, Decimal}:
+            own = [Decimal(r[n]) for r in rows if r.get(n) is not None]
+            whole, decimals = max(max(v.adjusted() + 1, 1) for v in own), max(max(-v.as_tuple().exponent, 0) for v in own)
+            if whole <= 18 and decimals == 0:
+                types.append(T.StructField(n, T.LongType()))
+                cast[n] = int
+            else:
+                if whole > 38:
+                    raise PivotError(f"{n}: a number has more than 38 digits")
+                types.append(T.StructField(n, T.DecimalType(38, min(decimals, 38 - whole))))
+                cast[n] = Decimal
+        elif kinds[n] <= {int, float, Decimal}:
             types.append(T.StructField(n, T.DoubleType()))
             cast[n] = float
         else:
@@ -103,9 +113,9 @@ def csv_text(spark: SparkSession, text: str, numbers: Iterable[str] | None = Non
     if numbers is not None:
         return typed(spark.createDataFrame(data, schema), numbers)
     kinds = {n: _decimals([r[i] for r in data]) for i, n in enumerate(schema.fieldNames())}
-    df = typed(spark.createDataFrame(data, schema), [n for n, d in kinds.items() if d is not None])
-    # Numbers keep as many decimals as their cells have.
-    return df.select(*(_quoted(n).cast("bigint" if d == 0 else f"decimal(28,{d})").alias(n) if d is not None else _quoted(n) for n, d in kinds.items()))
+    # Numbers keep as many decimals as their cells have, up to 38 digits in all.
+    long = {n: any(len(c.strip().lstrip("+-").replace(",", "").partition(".")[0]) > 18 for c in (r[i] for r in data) if c is not None) for i, n in enumerate(schema.fieldNames())}
+    return typed(spark.createDataFrame(data, schema), {n: "bigint" if d == 0 and not long[n] else f"decimal(38,{d})" for n, d in kinds.items() if d is not None})
 
 
 def _decimals(cells: list[str | None]) -> int | None:
@@ -113,7 +123,8 @@ def _decimals(cells: list[str | None]) -> int | None:
     full = [c.strip().replace(",", "") for c in cells if c is not None]
     if not full or not all(_is_number(c) for c in full):
         return None
-    return min(6, max(len(c.partition(".")[2]) for c in full))
+    decimals, whole = max(len(c.partition(".")[2]) for c in full), max(len(c.partition(".")[0].lstrip("+-")) for c in full)
+    return max(0, min(decimals, 38 - whole))
 
 
 def _is_number(cell: str) -> bool:
@@ -122,11 +133,11 @@ def _is_number(cell: str) -> bool:
 
 
 def typed(df: DataFrame, numbers: Iterable[str]) -> DataFrame:
-    wanted = {n.lower() for n in numbers}
+    wanted = {n.lower(): numbers[n] if isinstance(numbers, dict) else NUMBER for n in numbers}
     out = []
     for f in df.schema.fields:
         c = F.when(F.trim(_quoted(f.name)) != "", _quoted(f.name))
-        out.append((F.trim(F.regexp_replace(c, ",", "")).try_cast(NUMBER) if f.name.lower() in wanted else c).alias(f.name))
+        out.append((F.trim(F.regexp_replace(c, ",", "")).try_cast(wanted[f.name.lower()]) if f.name.lower() in wanted else c).alias(f.name))
     return df.select(*out)
 
 

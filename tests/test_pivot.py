@@ -203,3 +203,18 @@ def test_subtotals(orders):
 def test_culture_orders_rows(spark, locale, want):
     df = spark.createDataFrame([("Zonguldak", 1), ("Çanakkale", 1), ("Corum", 1)], "k string, v int")
     assert [x for (x,) in ordered(pivot(df, PivotRequest(("k",), (), (Value("v"),)), locale=locale).rows, "row_index")] == want
+
+
+def test_small_and_long_numbers_are_exact(spark):
+    from decimal import Decimal
+
+    from crossloom.sources.readers import csv_text, json_text
+
+    df = spark.createDataFrame([("a", 0.00004, 1), ("a", 0.00005, 2), ("b", 1e-13, 3)], "r string, v double, o int")
+    own = tuple(Value("v", kind) for kind in (A.SUM, A.MIN, A.MAX, A.AVERAGE))
+    rows = {r["r0"]: [float(r[f"v{i}"]) for i in range(4)] for r in pivot(df, PivotRequest(("r",), (), own), order_by=["o"]).labelled_cells().collect()}
+    assert rows["a"] == [0.00009, 0.00004, 0.00005, 0.000045] and rows["b"][1:3] == [1e-13, 1e-13]
+    found = json_text(spark, '[{"k": 9007199254740993}, {"k": 0.00001}, {"k": null}]')
+    assert sum(r["k"] for r in found.collect() if r["k"] is not None) == Decimal("9007199254740993.00001")
+    assert [r["k"] for r in json_text(spark, '[{"k": 99999999999999999999}]').collect()] == [99999999999999999999]
+    assert [r["k"] for r in csv_text(spark, "k,l\n0.12345678,1\n-3,2\n").collect()] == [Decimal("0.12345678"), Decimal("-3.00000000")]
