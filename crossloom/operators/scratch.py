@@ -5,11 +5,16 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+#: Lists that note the folders that cut() writes, innermost last, by thread.
+_noting = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,12 +44,30 @@ def cut(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     files: for narrow tables, at most so many files (and last tasks); small files cost more than their rows."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    for made in getattr(_noting, "lists", ()):
+        made.append(path)
     (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders that cut() writes in this thread while the block runs, for drop()."""
+    made: list[str] = []
+    _noting.lists = [*getattr(_noting, "lists", ()), made]
+    try:
+        yield made
+    finally:
+        _noting.lists = [x for x in _noting.lists if x is not made]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables of cut() that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def purge(spark: SparkSession) -> None:
     """Removes every table that this application has written with cut()."""
-    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    drop(spark, [f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"])
