@@ -16,6 +16,7 @@ from crossloom.llm.mixing import mix_sources
 from crossloom.llm.pieces import encode_samples
 from crossloom.llm.quality import keep_good
 from crossloom.llm.toxicity import keep_civil
+from crossloom.operators.scratch import drop, noted
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +44,15 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents as often as the mix takes them: of one that it takes r times over and some words more,
     r rows, and by hash of its row number one more, as likely as the words are many.
 
-    Rows get a number first, so that repeated rows and null ids are taken on their own; the mix works on the numbers,
-    and the texts stay where they are unless the counts are too many to be sent to every task."""
+    Rows get a number first, so that repeated rows and null ids are taken on their own; the mix works on the numbers.
+    The counts have a row for nearly every document, so nothing bounds them: they are never broadcast, but meet the
+    texts in one shuffle at any size, without sorting the texts."""
     number, times = free_name(docs, "row"), free_name(docs, "times")
     rows = cut(docs.withColumn(number, F.monotonically_increasing_id()), "pipeline-mix-rows")
     chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("mix-copy"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     plan = mix_sources(rows, doc_id=number).select("doc_id", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + chance).cast("int").alias(times))
     plan = cut(plan.select(F.col("doc_id").alias(number), times).where(F.col(times) > 0), "pipeline-mix", 24)
-    copies = rows.join(plan, number)
+    copies = rows.join(plan.hint("shuffle_hash"), number)
     return copies.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
@@ -72,8 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote on the way is removed once its result is written, and so is its input."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with noted() as made:
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        drop(spark, before + made[:-1])
+        before = made[-1:]
     return docs
