@@ -104,14 +104,11 @@ def _row_order(request: PivotRequest, agg: Aggregates, totals: DataFrame, cells:
 def pivot(df: DataFrame, request: PivotRequest, *, order_by: list[str] | None = None, locale: str = "", scale: int = SCALE, max_columns: int = MAX_COLUMNS, persist: bool = True) -> PivotFrames:
     """Runs a request.
 
-    One aggregation over the source feeds everything else; it is kept in memory or on the executors'
-    disks until release(), since axes, totals and windows all read it. The number of columns is checked
+    One aggregation of the source to cells feeds everything else; cells and their totals are kept in memory or on the
+    executors' disks until release(), since axes, totals and windows all read them. The number of columns is checked
     before a grid is spread; rows are numbered in one window or, if many, by a distributed sort."""
-    agg = aggregate_all(df, request, order_by, scale)
-    held = []
-    if persist:
-        agg.frame = agg.frame.persist()
-        held.append(agg.frame)
+    agg = aggregate_all(df, request, order_by, scale, persist)
+    held = [agg.cells, agg.frame] if persist else []
     m, names, values = len(agg.rows), agg.values, request.values
     columns, width = _column_axis(agg, max_columns)
     raw_rows, raw_columns, grand = agg.slice(m, False), agg.slice(0, True).drop("ord"), agg.grand

@@ -218,3 +218,33 @@ def test_small_and_long_numbers_are_exact(spark):
     assert sum(r["k"] for r in found.collect() if r["k"] is not None) == Decimal("9007199254740993.00001")
     assert [r["k"] for r in json_text(spark, '[{"k": 99999999999999999999}]').collect()] == [99999999999999999999]
     assert [r["k"] for r in csv_text(spark, "k,l\n0.12345678,1\n-3,2\n").collect()] == [Decimal("0.12345678"), Decimal("-3.00000000")]
+
+
+def test_source_rows_are_read_once_and_not_expanded(spark, tmp_path, orders):
+    import re
+
+    orders.write.parquet(str(tmp_path / "o"))
+    request = PivotRequest(("Region", "Category"), ("Year",), (AMOUNT, Value("Amount", A.AVERAGE), Value("Amount", A.COUNT)))
+    r = pivot(spark.read.parquet(str(tmp_path / "o")), request, order_by=["n"])
+    got = [float(x) for x in r.grand.first()]
+    assert got == [185, 46.25, 4, 4]
+    text = r.held[0]._jdf.queryExecution().optimizedPlan().toString() + r.held[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in text
+    for frame in (r.cells, r.row_totals, r.column_totals, r.subtotals, r.grand):
+        # Every scan of the files is the one that fills the kept cells.
+        plan = frame._jdf.queryExecution().withCachedData().toString()
+        assert "InMemoryRelation" in plan and not re.search(r"^[\s:+|-]*Relation \[", plan, re.M)
+    r.release()
+    assert not r.held
+
+
+def test_totals_from_cells_equal_totals_from_rows(spark):
+    rows = [(i, f"a{i % 3}", f"b{i % 4}", f"c{i % 2}", None if i % 7 == 0 else i) for i in range(60)]
+    df = spark.createDataFrame(rows, "n int, a string, b string, c string, v int")
+    r = pivot(df, PivotRequest(("a", "b"), ("c",), tuple(Value("v", k) for k in A)), order_by=["n"])
+    plain = {k: (F.sum, F.count, F.avg, F.min, F.max)[i]("v") for i, k in enumerate((A.SUM, A.COUNT, A.AVERAGE, A.MIN, A.MAX))}
+    want = [float(x) for x in df.agg(*(plain[k] for k in A)).first()]
+    assert [float(x) for x in r.grand.first()[: len(A)]] == pytest.approx(want)
+    by_a = {x["a"]: [float(x[i + 1]) for i in range(len(A))] for x in df.groupBy("a").agg(*(plain[k] for k in A)).collect()}
+    got = {x["r0"]: [float(x[f"v{i}"]) for i in range(len(A))] for x in r.subtotals.where("column_index IS NULL").collect()}
+    assert got == {k: pytest.approx(v) for k, v in by_a.items()}
